@@ -15,7 +15,7 @@ from ..plans.process import process
 from ..session import work_path
 from ..sources import postings as S, snapshots
 from ..streaming import ingest
-from .tables import postings, table
+from .tables import STOP_WORDS, postings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,7 +105,7 @@ def typed_load(spark: SparkSession, folder: str) -> DataFrame:
     bad = F.when(F.col("posting_id") % 13 == 0, F.lit("{'python'"))
     skills = F.when(F.col("posting_id") % 3 == 0, F.lit('{"languages": ["python", "sql"], "cloud": ["aws"]}'))
     rows = postings(spark, folder).select(
-        "posting_id", "title", "salary_min", "salary_max", F.coalesce(bad, skills).alias("key_skills")
+        "posting_id", "salary_min", "salary_max", F.coalesce(bad, skills).alias("key_skills")
     )
     S.export_csv(rows, path)
     loaded = S.load_typed(spark, path)
@@ -227,7 +227,8 @@ def international(spark: SparkSession, folder: str) -> DataFrame:
 
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Total count, idf and total weight of every term of the vocabulary, over all documents."""
-    weights = C.tfidf_weights(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    documents = table(spark, folder, "documents")
+    weights = C.tfidf_weights(documents, "doc_id", "text", stop_words=STOP_WORDS)
     totals = weights.groupBy("term").agg(
         F.sum("n").alias("n"), F.max("idf").alias("idf"), F.sum("weight").alias("weight")
     )

@@ -66,6 +66,11 @@ FROM (SELECT *, o_orderkey % (SELECT count(*) FROM documents) AS doc FROM orders
 JOIN documents d ON d.doc_id = o.doc
 """
 
+#: Words the weighted terms leave out, in the supplied texts.
+STOP_WORDS = [
+    "the", "of", "and", "to", "in", "is", "it", "that", "this", "for", "on", "with", "as", "by", "at", "from",
+    "an", "are", "be", "or", "was", "he", "she", "they", "we", "you", "not", "but", "have", "has", "had",
+]
 
 #: The column that identifies a row of each table.
 KEYS = {

@@ -1,60 +1,65 @@
-"""Keyword extraction and counting, one pass of plain expressions per row."""
+"""Keyword extraction and counting, one pass of plain expressions per row.
+
+The expressions are written as SQL text; see ``matching``.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
 from ..dictionaries import SKILLS
 from . import patterns as P
+from .matching import sql_literal
 
 #: Keywords up to this length must stand as whole words.
 SHORT_WORD = 3
 
 
-def has_keyword(lowered: Column, keyword: str, word_boundary: bool = False) -> Column:
-    """Whether a lower-cased text has the keyword.
+def _has(lowered: str, keyword: str, word_boundary: bool) -> str:
+    """Whether a lower-cased column has the keyword.
 
     The regular expression runs only on texts that hold the literal at all.
     """
-    hit = F.contains(lowered, F.lit(keyword))
+    hit = f"contains({lowered}, {sql_literal(keyword)})"
     if len(keyword) <= SHORT_WORD:
-        return hit & F.rlike(lowered, F.lit(P.whole_word(keyword)))
+        return f"({hit} AND rlike({lowered}, {sql_literal(P.whole_word(keyword))}))"
     if word_boundary:
-        body = P.re.escape(keyword)
-        return hit & F.rlike(lowered, F.lit(f"(?<![{P.WORD}]){body}(?![{P.WORD}])"))
+        apart = f"{re.escape(keyword)}(?<![{P.WORD}]{re.escape(keyword)})(?![{P.WORD}])"
+        return f"({hit} AND rlike({lowered}, {sql_literal(apart)}))"
     return hit
 
 
-def found_keywords(lowered: Column, keywords: Sequence[str], word_boundary: bool = False) -> Column:
-    """The keywords a lower-cased text has, in dictionary order."""
+def _found(lowered: str, keywords: Sequence[str], word_boundary: bool) -> str:
     marks = [
-        F.when(has_keyword(lowered, keyword, word_boundary), F.lit(keyword)).otherwise(F.lit(""))
-        for keyword in keywords
+        f"IF({_has(lowered, keyword, word_boundary)}, {sql_literal(keyword)}, '')" for keyword in keywords
     ]
-    return F.array_remove(F.array(*marks), "")
+    return f"array_remove(array({', '.join(marks)}), '')"
+
+
+def found_keywords(lowered: str, keywords: Sequence[str], word_boundary: bool = False) -> Column:
+    """The keywords a lower-cased column has, in dictionary order."""
+    return F.expr(_found(lowered, keywords, word_boundary))
 
 
 def skill_map(
-    lowered: Column, skills: Mapping[str, Sequence[str]] = SKILLS, word_boundary: bool = False
+    lowered: str, skills: Mapping[str, Sequence[str]] = SKILLS, word_boundary: bool = False
 ) -> Column:
     """Category to found keywords, without the categories that have none."""
-    pairs: list[Column] = []
-    for category, keywords in skills.items():
-        pairs += [F.lit(category), found_keywords(lowered, keywords, word_boundary)]
-    return F.map_filter(F.create_map(*pairs), lambda _, found: F.size(found) > 0)
+    pairs = [
+        f"{sql_literal(category)}, {_found(lowered, keywords, word_boundary)}" for category, keywords in skills.items()
+    ]
+    return F.expr(f"map_filter(map({', '.join(pairs)}), (category, found) -> size(found) > 0)")
 
 
-def keyword_count(lowered: Column, keywords: Sequence[str]) -> Column:
+def keyword_count(lowered: str, keywords: Sequence[str]) -> Column:
     """Occurrences of all keywords, each counted without overlap with itself."""
 
-    def occurrences(keyword: str) -> Column:
-        cut = F.octet_length(lowered) - F.octet_length(F.replace(lowered, F.lit(keyword), F.lit("")))
-        times = (cut / F.lit(len(keyword.encode()))).cast("bigint")
-        return F.when(F.contains(lowered, F.lit(keyword)), times).otherwise(F.lit(0).cast("bigint"))
+    def occurrences(keyword: str) -> str:
+        word = sql_literal(keyword)
+        cut = f"(octet_length({lowered}) - octet_length(replace({lowered}, {word}, '')))"
+        return f"IF(contains({lowered}, {word}), {cut} div {len(keyword.encode())}, 0L)"
 
-    total = occurrences(keywords[0])
-    for keyword in keywords[1:]:
-        total = total + occurrences(keyword)
-    return total
+    return F.expr(" + ".join(occurrences(keyword) for keyword in keywords))

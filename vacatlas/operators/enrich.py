@@ -29,15 +29,18 @@ def geocode(df: DataFrame, cities: Mapping[str, tuple[float, float]] = CITY_COOR
     """Coordinates of the first city named in the location; null for none."""
 
     def axis(i: int) -> Column:
-        return matching.first_match(F.col("location"), [(c, F.lit(p[i])) for c, p in cities.items()])
+        return matching.first_match("location", {city: float(point[i]) for city, point in cities.items()})
 
     return df.withColumns({"latitude": axis(0), "longitude": axis(1)})
 
 
 def assign_region(df: DataFrame, regions: Mapping[str, Sequence[str]] = REGIONS) -> DataFrame:
     """First region with a city named in the location, else "Other"."""
-    entries = [(city, F.lit(region)) for region, cities in regions.items() for city in cities]
-    return df.withColumn("region", matching.first_match(F.col("location"), entries, F.lit(OTHER_REGION)))
+    entries: dict[str, str] = {}
+    for region, cities in regions.items():
+        for city in cities:
+            entries.setdefault(city, region)
+    return df.withColumn("region", matching.first_match("location", entries, OTHER_REGION))
 
 
 def assign_state(df: DataFrame, states: Mapping[str, str] = CITY_STATES, case_fold: bool = True) -> DataFrame:
@@ -46,10 +49,8 @@ def assign_state(df: DataFrame, states: Mapping[str, str] = CITY_STATES, case_fo
     With ``case_fold`` off, a location without a known city yields the state
     code after its comma (``"Dallas, TX"``); folded text has no such code.
     """
-    location = F.col("location")
-    code = None if case_fold else F.nullif(F.regexp_extract(location, P.STATE_CODE, 1), F.lit(""))
-    entries = [(city, F.lit(state)) for city, state in states.items()]
-    return df.withColumn("state", matching.first_match(location, entries, code))
+    code = f"nullif(regexp_extract(location, {matching.sql_literal(P.STATE_CODE)}, 1), '')"
+    return df.withColumn("state", F.expr(matching.first_match_sql("location", states, "NULL" if case_fold else code)))
 
 
 def extract_years(df: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def extract_skills(
     """``key_skills``: category to the keywords found in the description."""
     return (
         df.withColumn("_lowered", F.lower(F.coalesce("description", F.lit(""))))
-        .withColumn("key_skills", K.skill_map(F.col("_lowered"), skills, word_boundary))
+        .withColumn("key_skills", K.skill_map("_lowered", skills, word_boundary))
         .drop("_lowered")
     )
 
@@ -115,12 +116,10 @@ def extract_responsibilities(df: DataFrame, limit: int = 10) -> DataFrame:
     return df.withColumn("responsibilities", X.listed_items(F.coalesce("description", F.lit("")), limit))
 
 
-def search_country(location: Column) -> Column:
-    """Country a search in ``location`` is made in."""
-    return matching.first_match(
-        location, [(place, F.lit(country)) for place, country in SEARCH_COUNTRIES.items()], F.lit(HOME_COUNTRY)
-    )
+def search_country(column: str) -> Column:
+    """Country a search in the column's place is made in."""
+    return matching.first_match(column, SEARCH_COUNTRIES, HOME_COUNTRY)
 
 
-def is_home(location: Column) -> Column:
-    return ~matching.contains_any(location, SEARCH_COUNTRIES)
+def is_home(column: str) -> Column:
+    return ~matching.contains_any(column, SEARCH_COUNTRIES)

@@ -71,7 +71,7 @@ def search_grid(
     """Every title in every location, and the country to search: (title, location, is_us, country)."""
     rows = spark.createDataFrame([(title, list(locations)) for title in titles], "title string, l array<string>")
     grid = rows.select("title", F.explode("l").alias("location"))
-    return grid.withColumns({"is_us": is_home(F.col("location")), "country": search_country(F.col("location"))})
+    return grid.withColumns({"is_us": is_home("location"), "country": search_country("location")})
 
 
 def standardize_columns(df: DataFrame) -> DataFrame:
