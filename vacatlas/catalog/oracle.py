@@ -186,9 +186,9 @@ def _tfidf(stop_words) -> str:
       vocabulary AS (
         SELECT term, sum(n) AS total, count(*) AS rows FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000),
       raw AS (
-        SELECT doc_id, term, n, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + rows)) + 1 AS idf, n * idf AS raw
+        SELECT doc_id, term, n, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + rows)) + 1 AS idf
         FROM tf JOIN vocabulary USING (term)),
-      unit AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw)
+      unit AS (SELECT *, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY doc_id)) AS weight FROM raw)
       SELECT term, sum(n)::BIGINT AS n, round(max(idf), 6) AS idf, round(sum(weight), 6) AS weight FROM unit GROUP BY term"""
 
 
@@ -308,7 +308,7 @@ def oracles() -> dict[str, str]:
               {_r('avg(yoe_min)', 'avg_yoe')}, any_value(top_regions) AS top_regions
             FROM labelled LEFT JOIN largest USING (cluster_label) GROUP BY cluster_label""",
             largest="""SELECT cluster_label, string_agg(region || ' (' || n || ')', ', ' ORDER BY n DESC, region) AS top_regions
-              FROM (SELECT cluster_label, region, count(*) AS n FROM labelled GROUP BY ALL
+              FROM (SELECT cluster_label, region, count(*) AS n FROM labelled GROUP BY cluster_label, region
                 QUALIFY row_number() OVER (PARTITION BY cluster_label ORDER BY n DESC, region) <= 3) GROUP BY cluster_label"""),
         "salary_stats": _with("processed", f"""SELECT {_r('quantile_cont(salary_max_annual, 0.25)', 'p25')},
             {_r('quantile_cont(salary_max_annual, 0.5)', 'median')}, {_r('quantile_cont(salary_max_annual, 0.75)', 'p75')},

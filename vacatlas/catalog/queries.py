@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..dictionaries import CITY_COORDINATES
 from ..operators import advice, aggregates as A, clustering as C, enrich as E, filters as B, gazetteer
 from ..operators.dedup import dedup
-from ..operators.facts import facts
+from ..operators.facts import facts, skill_rows
 from ..plans import report
 from ..plans.process import process
 from ..session import work_path
@@ -174,8 +174,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def skills_long(spark: SparkSession, folder: str) -> DataFrame:
     """A row per posting, category and skill."""
-    found = E.extract_skills(_texts(spark, folder)).select("posting_id", F.explode("key_skills").alias("category", "s"))
-    return found.select("posting_id", "category", F.explode("s").alias("skill"))
+    return skill_rows(E.extract_skills(_texts(spark, folder)), "posting_id")
 
 
 def summaries(spark: SparkSession, folder: str) -> DataFrame:

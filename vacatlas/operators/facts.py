@@ -74,3 +74,15 @@ def facts(df: DataFrame, *names: str) -> DataFrame:
     # each reader of the table its own pass over the postings. Columns that hang
     # on the count stay above it, so that all readers share the one shuffle.
     return counted.select(*(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in COLUMNS[:-1]), "n")
+
+
+def skill_rows(df: DataFrame, key: str) -> DataFrame:
+    """A row per posting, category and skill.
+
+    The map is exploded with its empty rows, which are dropped after: a plain
+    explode would have the map tested for being empty before, and with it the
+    whole extraction run twice.
+    """
+    categories = df.select(key, F.explode_outer("key_skills").alias("category", "_skills"))
+    found = categories.where(F.col("category").isNotNull())
+    return found.select(key, "category", F.explode("_skills").alias("skill"))
