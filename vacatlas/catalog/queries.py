@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..dictionaries import CITY_COORDINATES
 from ..operators import advice, aggregates as A, clustering as C, enrich as E, filters as B, gazetteer
 from ..operators.dedup import dedup
-from ..operators.facts import facts, skill_rows
+from ..operators.facts import kept_facts, skill_rows
 from ..plans import report
 from ..plans.process import process
 from ..session import work_path
@@ -37,6 +37,15 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return C.apply_labels(df, C.label_clusters(df))
 
 
+def _facts_of(*names: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Facts of the processed postings by labelled group, counted once."""
+
+    def counted(spark: SparkSession, folder: str) -> DataFrame:
+        return kept_facts(grouped(processed(spark, folder)), *names)
+
+    return counted
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in names})
 
@@ -275,17 +284,18 @@ def _skilled(spark: SparkSession, folder: str) -> DataFrame:
     return E.extract_skills(_texts(spark, folder))
 
 
-def market(spark: SparkSession, folder: str) -> DataFrame:
-    return E.extract_skills(labelled(spark, folder))
+def skilled_market(spark: SparkSession, folder: str) -> DataFrame:
+    """Processed postings with skills and groups, for the advice and the report."""
+    return E.extract_skills(grouped(processed(spark, folder)))
 
 
 def suggestions(spark: SparkSession, folder: str) -> DataFrame:
-    return advice.suggestions(facts(market(spark, folder)).checkpoint())
+    return advice.suggestions(kept_facts(skilled_market(spark, folder)))
 
 
 def report_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The number of rows of each table of the written report."""
-    written = report.write_report(market(spark, folder), work_path(spark, "report"), "2024-01-14")
+    written = report.write_report(skilled_market(spark, folder), work_path(spark, "report"), "2024-01-14")
     counts = [
         spark.read.parquet(path).agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
         for name, path in written.items()
@@ -363,39 +373,46 @@ QUERIES: dict[str, Query] = {
     "min_support": min_support,
     "international": international,
     # statistics
-    "kpis": _on(labelled, A.kpis),
-    "category_counts": _on(labelled, A.category_counts),
-    "category_share": _on(labelled, A.category_share, "share"),
+    "kpis": _on(_facts_of("company", "category", "salary_region", "years_region"), A.kpis),
+    "category_counts": _on(_facts_of("category"), A.category_counts),
+    "category_share": _on(_facts_of("category"), A.category_share, "share"),
     "top_companies": _on(processed, A.top_companies),
     "state_counts": _on(processed, A.state_counts),
     "region_counts": _on(processed, A.region_counts),
     "region_stats": _on(processed, A.region_stats, "median_salary", "median_yoe"),
     "region_report": _on(processed, A.region_report, "avg_salary", "avg_yoe"),
     "cluster_summary": _on(
-        labelled, A.cluster_summary, "pct", "avg_salary_min", "avg_salary_max", "avg_yoe"
+        _facts_of("category", "floor_category", "salary_category", "years_category"),
+        A.cluster_summary, "pct", "avg_salary_min", "avg_salary_max", "avg_yoe",
     ),
     "salary_stats": _on(processed, A.salary_stats, "p25", "median", "p75", "mean"),
     "salary_benchmarks": _on(processed, A.salary_benchmarks, "median", "p75", "p90"),
-    "median_salary_rank": _on(labelled, A.median_salary_rank, "median_salary"),
+    "median_salary_rank": _on(_facts_of("salary_category"), A.median_salary_rank, "median_salary"),
     "median_salary_by_region": _on(processed, A.median_salary_rank, "median_salary", by="region"),
     "box_stats_region": _on(processed, A.box_stats, "q1", "median", "q3", fact="salary_region", with_other=False),
-    "box_stats_cluster": _on(labelled, A.box_stats, "q1", "median", "q3", fact="salary_category"),
-    "box_yoe_cluster": _on(labelled, A.box_stats, "q1", "median", "q3", fact="years_category"),
+    "box_stats_cluster": _on(
+        _facts_of("salary_category"), A.box_stats, "q1", "median", "q3", fact="salary_category"
+    ),
+    "box_yoe_cluster": _on(
+        _facts_of("years_category"), A.box_stats, "q1", "median", "q3", fact="years_category"
+    ),
     "yoe_histogram": _on(processed, A.yoe_histogram, "median"),
     "salary_histogram": _on(processed, A.histogram, "low", "high"),
     "yoe_kpis": _on(processed, A.yoe_kpis, "median", "entry_pct"),
     "yoe_bands": _on(processed, A.yoe_bands, "median", "entry_pct"),
-    "crosstab_wide": _on(labelled, A.crosstab_wide, labels=["LLM/GenAI", "Computer Vision", "Fraud Detection/Risk"]),
-    "crosstab_long": _on(labelled, A.crosstab_long),
+    "crosstab_wide": _on(
+        _facts_of("category"), A.crosstab_wide, labels=["LLM/GenAI", "Computer Vision", "Fraud Detection/Risk"]
+    ),
+    "crosstab_long": _on(_facts_of("category"), A.crosstab_long),
     "skill_frequency": _on(_skilled, A.skill_frequency),
     "top_skills": _on(_skilled, A.top_skills),
     "top_skills_by_category": _on(_skilled, A.top_skills_by_category),
     "skill_gaps": _on(_skilled, advice.skill_gaps),
-    "category_trends": _on(labelled, A.category_trends, "pct"),
+    "category_trends": _on(_facts_of("category"), A.category_trends, "pct"),
     "geo_trends": _on(processed, A.geo_trends),
     "city_density": _on(processed, A.city_density),
     "map_centre": _on(processed, A.map_centre, "latitude", "longitude"),
-    "cluster_density": _on(labelled, A.cluster_density),
+    "cluster_density": _on(_facts_of("place"), A.cluster_density),
     # clustering
     "tfidf_weights": tfidf_weights,
     "kmeans_embeddings": kmeans_embeddings,

@@ -10,7 +10,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from ..dictionaries import SKILLS
 from . import patterns as P
 from .matching import sql_literal
 
@@ -44,14 +43,16 @@ def found_keywords(lowered: str, keywords: Sequence[str], word_boundary: bool =
     return F.expr(_found(lowered, keywords, word_boundary))
 
 
-def skill_map(
-    lowered: str, skills: Mapping[str, Sequence[str]] = SKILLS, word_boundary: bool = False
-) -> Column:
-    """Category to found keywords, without the categories that have none."""
-    pairs = [
-        f"{sql_literal(category)}, {_found(lowered, keywords, word_boundary)}" for category, keywords in skills.items()
-    ]
-    return F.expr(f"map_filter(map({', '.join(pairs)}), (category, found) -> size(found) > 0)")
+def skill_map(found: Mapping[str, str]) -> Column:
+    """Category to found keywords, without the categories that have none.
+
+    ``found`` names the column of found keywords per category. Put together
+    without lambdas, so that the extraction below it stays in generated code.
+    """
+    keys = ", ".join(f"IF(size({column}) > 0, {sql_literal(category)}, '')" for category, column in found.items())
+    values = ", ".join(found.values())
+    none = "CAST(array() AS array<string>)"
+    return F.expr(f"map_from_arrays(array_remove(array({keys}), ''), array_remove(array({values}), {none}))")
 
 
 def keyword_count(lowered: str, keywords: Sequence[str]) -> Column:

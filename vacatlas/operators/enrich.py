@@ -75,10 +75,14 @@ def extract_skills(
     df: DataFrame, skills: Mapping[str, Sequence[str]] = SKILLS, word_boundary: bool = False
 ) -> DataFrame:
     """``key_skills``: category to the keywords found in the description."""
+    found = {category: f"_skills{i}" for i, category in enumerate(skills)}
     return (
         df.withColumn("_lowered", F.lower(F.coalesce("description", F.lit(""))))
-        .withColumn("key_skills", K.skill_map("_lowered", skills, word_boundary))
-        .drop("_lowered")
+        .withColumns(
+            {found[category]: K.found_keywords("_lowered", words, word_boundary) for category, words in skills.items()}
+        )
+        .withColumn("key_skills", K.skill_map(found))
+        .drop("_lowered", *found.values())
     )
 
 

@@ -8,8 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from ..operators import advice, aggregates as A
-from ..operators.facts import facts
-from ..session import shared_folder
+from ..operators.facts import kept_facts
 from ..sources.snapshots import write_snapshot
 
 log = logging.getLogger(__name__)
@@ -40,18 +39,12 @@ TABLES = {
 }
 
 
-def market_facts(df: DataFrame) -> DataFrame:
-    """The facts of the postings, counted once and kept in the shared folder.
+def report_tables(df: DataFrame) -> dict[str, DataFrame]:
+    """All tables of the report; one that cannot be built is left out with a warning.
 
-    One pass over the postings; all tables of the report read the small result.
+    The postings are read in one pass, for their facts; all tables come from these.
     """
-    shared_folder(df.sparkSession)
-    return facts(df).checkpoint()
-
-
-def report_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the report; one that cannot be built is left out with a warning."""
-    table = market_facts(df)
+    table = kept_facts(df)
     built = {}
     for name, build in TABLES.items():
         try:
