@@ -28,6 +28,8 @@ WORD = r"\p{L}\p{N}_"
 
 HTML_TAG = r"<[^>]+>"
 BLANKS = " {2,}"
+#: The ASCII part of it, one by one.
+CONTROL_SPACES = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20))]
 SENTENCE_END = f"(?<=[.!?]){SPACE}+"
 
 # Fixed patterns, tried in this order: a range of years, years of experience,
@@ -40,6 +42,11 @@ YEARS_SINGLE = [
     rf"(?iu)(?:minimum|min|at{SPACE}+least){SPACE}+{DIGIT}+{SPACE}*years?",
     rf"(?iu){DIGIT}+{SPACE}*years?{SPACE}*(?:of{SPACE}+)?(?:experience|exp|relevant)",
 ]
+#: Everything the patterns that start with a figure can match, so that these need
+#: to look at such phrases only.
+YEARS_PHRASE = (
+    rf"(?iu){DIGIT}+(?:{SPACE}*[-–to]+{SPACE}*{DIGIT}+)?\+?{SPACE}*years?{SPACE}*(?:of{SPACE}+)?(?:experience|exp|relevant)"
+)
 SALARY_NUMBER = rf"({DIGIT}+\.?{DIGIT}*)"
 STATE_CODE = rf",{SPACE}*([A-Z]{{2}})(?![{WORD}])"
 

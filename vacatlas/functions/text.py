@@ -12,6 +12,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(P.SPACE_CHARS))
 
 
+def has_only_blanks(text: Column) -> Column:
+    """Whether a plain ASCII text has no white space but blanks; null is no.
+
+    Plain searches cost a fraction of a regular expression over the text.
+    """
+    other = F.contains(text, F.lit(P.CONTROL_SPACES[0]))
+    for space in P.CONTROL_SPACES[1:]:
+        other = other | F.contains(text, F.lit(space))
+    return F.coalesce((F.octet_length(text) == F.char_length(text)) & ~other, F.lit(False))
+
+
 def plain_text(html: Column) -> Column:
     """Tags to blanks, white space to single blanks, ends stripped; null to ""."""
     untagged = F.regexp_replace(F.coalesce(html, F.lit("")), P.HTML_TAG, " ")
@@ -22,16 +33,20 @@ def years_phrase(text: Column) -> Column:
     """The phrase that states the experience asked for, or null.
 
     A phrase with two figures starts with ``2:``, one with a single figure with
-    ``1:``. Patterns are tried in order, each over the whole text, and the later
-    ones only where the earlier ones found nothing.
+    ``1:``. The patterns are tried in order. Those that start with a figure look
+    only at the phrases one pass over the text has collected; the one that does
+    not reads the text where no pattern before it has matched.
     """
+    phrases = F.array_join(F.regexp_extract_all(text, F.lit(P.YEARS_PHRASE), F.lit(0)), "\n")
+    figures, minimum, relevant = P.YEARS_SINGLE
 
-    def found(tag: str, pattern: str) -> Column:
-        phrase = F.regexp_extract(text, pattern, 0)
-        return F.concat(F.lit(tag), F.nullif(phrase, F.lit("")))
+    def found(tag: str, source: Column, pattern: str) -> Column:
+        return F.concat(F.lit(tag), F.nullif(F.regexp_extract(source, pattern, 0), F.lit("")))
 
-    phrases = [found("2:", P.YEARS_RANGE), *(found("1:", p) for p in P.YEARS_SINGLE)]
-    return F.coalesce(*phrases)
+    return F.coalesce(
+        found("2:", phrases, P.YEARS_RANGE), found("1:", phrases, figures),
+        found("1:", text, minimum), found("1:", phrases, relevant),
+    )
 
 
 def years_min(phrase: Column) -> Column:

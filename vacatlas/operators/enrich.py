@@ -99,7 +99,8 @@ def summarize(df: DataFrame, sentences: int = 3, important: Sequence[str] | None
     )
 
     def scored(sentence: Column, i: Column) -> Column:
-        words = F.split(F.lower(sentence), f"{P.SPACE}+")
+        lowered = F.lower(sentence)
+        words = F.when(F.col("_blanks"), F.split(lowered, " ")).otherwise(F.split(lowered, f"{P.SPACE}+"))
         hits = F.size(F.filter(words, lambda w: w.isin(*important)))
         boost = F.greatest(F.lit(0.0), F.lit(1.0) - (i / F.size("_sentences")) * F.lit(0.5))
         return F.struct((hits * (F.lit(1.0) + boost)).alias("score"), i.alias("i"), sentence.alias("sentence"))
@@ -112,7 +113,8 @@ def summarize(df: DataFrame, sentences: int = 3, important: Sequence[str] | None
         .when(F.size("_sentences") <= sentences, F.array_join("_sentences", " "))
         .otherwise(F.array_join(picked, " "))
     )
-    return df.withColumn("_sentences", long_ones).withColumn("summary", summary).drop("_sentences")
+    staged = df.withColumns({"_sentences": long_ones, "_blanks": X.has_only_blanks(text)})
+    return staged.withColumn("summary", summary).drop("_sentences", "_blanks")
 
 
 def extract_responsibilities(df: DataFrame, limit: int = 10) -> DataFrame:
