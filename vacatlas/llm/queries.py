@@ -10,11 +10,18 @@ from .common import source
 from .packing import pack
 from .tokenfile import read_tokens, write_tokens
 from .tokens import token_counts
+from .warc import read_archives, write_archives
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    write_archives(source(spark, folder, "pages", "page_id", "url", "html"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(source(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
 
@@ -30,9 +37,20 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
     "op9_token_files": op9_token_files,
 }
 
-SQL: dict[str, str] = {}
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM h WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, h.digest AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM h LEFT JOIN f ON h.digest = f.digest AND n >= 100
+"""
+
+SQL: dict[str, str] = {"op1_warc": OP1}
