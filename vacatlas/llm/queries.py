@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
 from .common import source
 from .packing import pack
+from .substrings import remove_repeats
 from .tokenfile import read_tokens, write_tokens
 from .tokens import token_counts
 from .warc import read_archives, write_archives
@@ -36,11 +37,17 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_repeats(source(spark, folder, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
     "op9_token_files": op9_token_files,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 OP1 = """
