@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
 from .common import source
+from .decontaminate import contaminated
 from .packing import pack
+from .quality import quality_scores, train
 from .substrings import remove_repeats
 from .tokenfile import read_tokens, write_tokens
 from .tokens import token_counts
@@ -31,6 +33,15 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(source(spark, folder, "documents", "doc_id", "text"), WORD_BPE)
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(source(spark, folder, "documents", "doc_id", "text"), source(spark, folder, "benchmark", "item_id", "text"))
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = source(spark, folder, "documents", "doc_id", "text")
+    return quality_scores(docs, train(docs, source(spark, folder, "labels", "doc_id", "quality")))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "tokens")
     write_tokens(source(spark, folder, "documents", "doc_id", "text"), path, BYTE_BPE)
@@ -46,6 +57,8 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -60,4 +73,22 @@ SELECT page_id, n AS payload_bytes, h.digest AS payload_digest,
 FROM h LEFT JOIN f ON h.digest = f.digest AND n >= 100
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1}
+OP7 = """
+WITH words AS (
+  SELECT false AS item, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT true, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') FROM benchmark),
+widths AS (SELECT DISTINCT least(5, len(w)) AS width FROM words WHERE item AND len(w) > 0),
+s AS (
+  SELECT DISTINCT item, id, width, array_to_string(w[i:i + width - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM words JOIN widths
+    ON CASE WHEN item THEN width = least(5, len(w)) ELSE width <= len(w) END)),
+n AS (SELECT id, count(*) AS n FROM s WHERE item GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
+FROM s i JOIN s d ON i.item AND NOT d.item AND i.width = d.width AND i.s = d.s JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n HAVING count(*) >= 0.8 * n
+"""
+
+SQL: dict[str, str] = {"op1_warc": OP1, "op7_decontamination": OP7}

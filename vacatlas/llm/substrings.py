@@ -16,19 +16,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_128_digest
 
 from .common import bounded, record, stored, texts
+from .words import mixed, named
 
 #: Rounds to the symbols that reveal, and rounds in all.
 LOW_ROUNDS, ROUNDS = 7, 26
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
 
 
 class Parse:
@@ -55,7 +49,7 @@ class Parse:
                 near, far = self._depend(s, e, near, far, left, same, pair)
             at = np.flatnonzero(pair)
             sym, s, e = sym.copy(), s, e.copy()
-            sym[at] = mixed(sym[at] * _A + mixed(sym[at + 1] + np.uint64(r + 1)))
+            sym[at] = mixed(sym[at] * np.uint64(5) + mixed(sym[at + 1] + np.uint64(r + 1)))
             longer = np.maximum(e[at] - s[at], e[at + 1] - s[at + 1])
             e[at] = e[at + 1]
             for limit in sizes:
@@ -106,16 +100,9 @@ class Parse:
         return np.stack([start[long], end[long], period[long]])
 
 
-def _words(batch: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, first place of each text, and the name of every word."""
-    words = [text.encode().split() for text in batch.column("text").to_pylist()]
-    starts = np.concatenate([[0], np.cumsum([len(own) for own in words])]).astype(np.int64)
-    names = np.fromiter((xxh3_64_intdigest(w) for own in words for w in own), np.uint64, starts[-1])
-    return words, starts, names
-
-
 def _parsed(batch: pa.RecordBatch, size: int, low_rounds: int) -> tuple[list[list[bytes]], np.ndarray, Parse]:
-    words, starts, names = _words(batch)
+    words = [text.encode().split() for text in batch.column("text").to_pylist()]
+    names, starts = named(words)
     return words, starts, Parse(names, np.repeat(np.arange(len(words)), np.diff(starts)), size, low_rounds)
 
 
