@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import work_path
 from .common import source
 from .decontaminate import contaminated
+from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_scores, train
 from .substrings import remove_repeats
@@ -29,6 +30,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(source(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
 
 
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(source(spark, folder, "documents", "doc_id", "text"), 3, (85, 100))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(source(spark, folder, "documents", "doc_id", "text"), WORD_BPE)
 
@@ -56,6 +61,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
+    "op4_minhash": op4_minhash,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
