@@ -14,6 +14,7 @@ from .quality import quality_scores, train
 from .substrings import remove_repeats
 from .tokenfile import read_tokens, write_tokens
 from .tokens import token_counts
+from .vectors import near_vectors
 from .warc import read_archives, write_archives
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +35,10 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(source(spark, folder, "documents", "doc_id", "text"), 3, (85, 100))
 
 
+def op5_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(source(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(source(spark, folder, "documents", "doc_id", "text"), WORD_BPE)
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op5_vectors": op5_vectors,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -97,4 +103,19 @@ FROM s i JOIN s d ON i.item AND NOT d.item AND i.width = d.width AND i.s = d.s J
 GROUP BY d.id, i.id, n HAVING count(*) >= 0.8 * n
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1, "op7_decontamination": OP7}
+OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+root AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+  vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN root ON root.a = vec_id
+"""
+
+SQL: dict[str, str] = {"op1_warc": OP1, "op5_vectors": OP5, "op7_decontamination": OP7}
