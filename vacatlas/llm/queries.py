@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import work_path
 from .common import source
 from .decontaminate import contaminated
+from .katz import katz_scores
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_scores, train
@@ -27,6 +28,10 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_katz(spark: SparkSession, folder: str) -> DataFrame:
+    return katz_scores(source(spark, folder, "documents", "doc_id", "text"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(source(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
 
@@ -65,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_katz": op2_katz,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op5_vectors": op5_vectors,
