@@ -241,3 +241,15 @@ def near_duplicates(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def keep_one(
+    docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` but for those linked to a document of a lesser id, all columns as they are.
+
+    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    """
+    found = near_duplicates(docs.select(id_col, text_col), width, share, id_col, text_col)
+    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
