@@ -2,27 +2,30 @@
 
 A text is a sequence of words, named by hash. In each round a hash bit deals every symbol to one of two sides; a
 left symbol followed by a right one becomes one symbol, named from the two. Names are functions of contents, so a
-round names equal pairs alike everywhere without moving anything, and rounds run in the task that reads the text.
+round names equal pairs alike in all texts without moving anything, and rounds run in the task that reads the text.
 Left of pairs are runs of one symbol, which no round can pair; they are named by their period.
 
 Equal substrings get equal symbols except near their ends. How near is known exactly: with each symbol goes the
 stretch of words that its existence depends on. A symbol whose stretch lies inside a window of ``size`` words is in
 every equal window, so a window can repeat only if all such symbols do. That reveals; high symbols of at least
-``size`` words that occur twice, and windows compared by 128-bit digest, verify.
+``size`` words that stand in two places, and windows, both by 128-bit names, verify.
 """
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from .common import bounded, record, stored, texts
+from .batches import ASK, Keys, answers, flags_of, held, numbered, opened, questions, ranges_for
+from .common import stored, texts
 from .words import mixed, named
 
-#: Rounds to the symbols that reveal, and rounds in all.
-LOW_ROUNDS, ROUNDS = 7, 26
+#: Rounds to the symbols that reveal, and rounds in all; bytes of text in a batch, and for each range of names.
+LOW_ROUNDS, ROUNDS, BATCH_BYTES, RANGE_BYTES = 6, 26, 8 << 20, 8 << 20
 
 
 class Parse:
@@ -100,156 +103,71 @@ class Parse:
         return np.stack([start[long], end[long], period[long]])
 
 
-def _parsed(batch: pa.RecordBatch, size: int, low_rounds: int) -> tuple[list[list[bytes]], np.ndarray, Parse]:
-    words = [text.encode().split() for text in batch.column("text").to_pylist()]
-    names, starts = named(words)
-    return words, starts, Parse(names, np.repeat(np.arange(len(words)), np.diff(starts)), size, low_rounds)
-
-
-def _digests(parts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
-
-
-SYMBOL = pa.schema([
-    ("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("hash", pa.int32()), ("pos", pa.int32()), ("len", pa.int32()),
-])
-SYMBOL_DDL = "k1 bigint, k2 bigint, did bigint, hash int, pos int, len int"
-
-
-def symbols(docs: DataFrame, size: int, low_rounds: int = LOW_ROUNDS) -> DataFrame:
-    """The symbols to count: low ones by name (len 0), high ones by the digest of their words (len > 0).
-
-    Low symbols that depend on more words than a window has tell nothing about any window and are left out.
-    """
-
-    def emit(batches):
-        for batch in bounded(batches):
-            words, starts, parse = _parsed(batch, size, low_rounds)
-            did, check = np.asarray(batch.column("did")), np.asarray(batch.column("hash"))
-            sym, s, _, near, far = parse.low
-            use = far - near <= size
-            sym, s = sym[use], s[use]
-            text = np.searchsorted(starts, s, "right") - 1
-            yield record(SYMBOL, {
-                "k1": sym.view(np.int64), "k2": np.zeros(len(sym), np.int64), "did": did[text], "hash": check[text],
-                "pos": (s - starts[text]).astype(np.int32), "len": np.zeros(len(sym), np.int32),
-            })
-            s, e = parse.high
-            text = np.searchsorted(starts, s, "right") - 1
-            s, e = s - starts[text], e - starts[text]
-            keys = _digests([b" ".join(words[t][a:b]) for t, a, b in zip(text.tolist(), s.tolist(), e.tolist(), strict=True)])
-            yield record(SYMBOL, {
-                "k1": keys[:, 0], "k2": keys[:, 1], "did": did[text], "hash": check[text], "pos": s.astype(np.int32),
-                "len": (e - s).astype(np.int32),
-            })
-
-    return docs.select("did", "hash", "text").mapInArrow(emit, SYMBOL_DDL)
-
-
 def _inside(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
     """Which of 0..n-1 lie in any of the ranges."""
-    steps = np.zeros(n + 1, np.int64)
     ok = stops > starts
-    np.add.at(steps, starts[ok], 1)
-    np.add.at(steps, stops[ok], -1)
-    return np.cumsum(steps[:-1]) > 0
-
-
-def _windows_of(n: int, size: int, low: tuple, known: set, high: list, runs: np.ndarray):
-    """For a text of ``n`` words: decided ranges, the window starts to compare, and which of these need an answer.
-
-    low: start, from, to of its symbols within the text; known: starts of those that occur twice;
-    high: (start, length, first) of high symbols that occur twice, ``first`` where this text is their first.
-    """
-    s, near, far = low
-    rare = np.array([x not in known for x in s.tolist()], bool) if len(s) else np.empty(0, bool)
-    m = n - size + 1
-    ruled_out = _inside(np.maximum(far[rare] - size, 0), np.minimum(near[rare] + 1, m), m)
-    runs_s, runs_e, period = runs
-    decided = [(p, k) for p, k, _ in high] + list(zip(runs_s.tolist(), (runs_e - runs_s).tolist(), strict=True))
-    told = np.array([(p, p + k) for p, k in decided], np.int64).reshape(-1, 2)
-    covered = _inside(told[:, 0], told[:, 1], n)
-    elsewhere = np.array([(p, p + k - size + 1) for p, k, first in high if not first], np.int64).reshape(-1, 2)
-    skip = _inside(
-        np.concatenate([elsewhere[:, 0], runs_s + period]), np.concatenate([elsewhere[:, 1], runs_e - size + 1]), m
-    )
-    at = np.flatnonzero(~ruled_out & ~skip)
-    whole = np.concatenate([[0], np.cumsum(covered)])
-    return decided, at, whole[at + size] - whole[at] < size
-
-
-WINDOW = pa.schema([*SYMBOL, ("need", pa.bool_())])
-
-
-def windows(docs: DataFrame, size: int, low_rounds: int = LOW_ROUNDS) -> DataFrame:
-    """(did, hash, text, marks) to decided ranges (len > 0) and windows to compare (len 0).
-
-    Windows inside a high symbol that occurs twice are repeats already. They are compared only in the first text (by
-    hashed id) that has the symbol, so that other windows can still meet them; of a run, one period of windows is.
-    """
-
-    def emit(batches):
-        for batch in bounded(batches):
-            words, starts, parse = _parsed(batch, size, low_rounds)
-            ids, checks = batch.column("did").to_pylist(), batch.column("hash").to_pylist()
-            _, s, _, near, far = parse.low
-            use = far - near <= size
-            s, near, far = s[use], near[use], far[use]
-            cut, run_cut = np.searchsorted(s, starts), np.searchsorted(parse.runs[0], starts)
-            marks = batch.column("marks")
-            keys, rows = [], []
-            for t, own in enumerate(words):
-                if len(own) < size:
-                    continue
-                base, part, found = starts[t], slice(cut[t], cut[t + 1]), marks[t].as_py() or []
-                runs = parse.runs[:, run_cut[t]:run_cut[t + 1]] - np.array([[base], [base], [0]])
-                decided, at, need = _windows_of(
-                    len(own), size, (s[part] - base, near[part] - base, far[part] - base),
-                    {x["pos"] for x in found if not x["len"]},
-                    [(x["pos"], x["len"], x["first"]) for x in found if x["len"]], runs,
-                )
-                rows += [(ids[t], checks[t], p, k, False) for p, k in decided]
-                keys += [b""] * len(decided)
-                rows += [(ids[t], checks[t], p, 0, x) for p, x in zip(at.tolist(), need.tolist(), strict=True)]
-                keys += [b" ".join(own[p:p + size]) for p in at.tolist()]
-                if len(rows) > 50_000:
-                    yield pack(keys, rows)
-                    keys, rows = [], []
-            yield pack(keys, rows)
-
-    def pack(keys, rows):
-        pair = _digests(keys)
-        did, check, pos, length, need = zip(*rows, strict=True) if rows else [()] * 5
-        return record(WINDOW, {
-            "k1": pair[:, 0], "k2": pair[:, 1], "did": did, "hash": check, "pos": pos, "len": length, "need": need
-        })
-
-    return docs.mapInArrow(emit, SYMBOL_DDL + ", need boolean")
-
-
-def repeats(docs: DataFrame, size: int, low_rounds: int = LOW_ROUNDS) -> DataFrame:
-    """(did, hash, ranges): for each text the ranges (pos, len) of words that repeated windows cover.
-
-    ``docs`` has did, hash and text. Counts are combined before they are shuffled; symbols and windows are joined
-    only with keys that occur twice, in joins that can split a hot key; lists are formed for single texts only.
-    """
-    docs = docs.where(F.octet_length("text") >= 2 * size - 1)
-    found = symbols(docs, size, low_rounds).withColumn("order", F.xxhash64("did", "hash"))
-    twice = (
-        found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.when(F.col("len") > 0, F.col("order"))).alias("least"))
-        .where("n > 1").drop("n")
-    )
-    marks = (
-        found.join(twice, ["k1", "k2"])
-        .select("did", "hash", F.struct("pos", "len", F.coalesce(F.expr("`order` = least"), F.lit(False)).alias("first")).alias("mark"))
-        .groupBy("did", "hash").agg(F.collect_list("mark").alias("marks"))
-    )
-    compared = stored(windows(docs.join(marks, ["did", "hash"], "left"), size, low_rounds), "windows")
-    again = compared.where("len = 0").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    covered = compared.where("len = 0 and need").join(again, ["k1", "k2"], "left_semi").select(
-        "did", "hash", "pos", F.lit(size).alias("len")
-    ).union(compared.where("len > 0").select("did", "hash", "pos", "len"))
-    return covered.groupBy("did", "hash").agg(F.collect_list(F.struct("pos", "len")).alias("ranges"))
+    steps = np.bincount(starts[ok], minlength=n + 1) - np.bincount(stops[ok], minlength=n + 1)
+    return np.cumsum(steps[:n]) > 0
+
+
+class Repeats:
+    """A batch of texts: its symbols, and what answers about them and about windows tell of its words."""
+
+    def __init__(self, items: list[str], size: int, low_rounds: int):
+        self.size, self.words = size, [item.encode().split() for item in items]
+        self.names, self.starts = named(self.words)
+        self.text = np.repeat(np.arange(len(items)), np.diff(self.starts))
+        self.parse = Parse(self.names, self.text, size, low_rounds)
+        sym, _, _, near, far = self.parse.low
+        use = far - near <= size  # others are in no window whole
+        self.low, self.near, self.far = Keys(sym[use]), near[use], far[use]
+        start, end = self.parse.high
+        text = self.text[start]
+        first = self.starts[text]
+        parts = zip(text.tolist(), (start - first).tolist(), (end - first).tolist(), strict=True)
+        pair = np.frombuffer(b"".join(xxh3_128_digest(b" ".join(self.words[t][a:b])) for t, a, b in parts), np.uint64).reshape(-1, 2)
+        self.high = Keys(pair[:, 0], pair[:, 1])
+
+    def windows(self, low: np.ndarray, high: np.ndarray) -> Keys:
+        """The windows to compare, by name, once symbols are told apart.
+
+        Words in a high symbol of two places or in a long run are ``covered``. Windows inside such a symbol repeat;
+        they are compared only where the symbol first stands, so that other windows can meet them there. Of a run,
+        the windows of one period are.
+        """
+        size, n = self.size, len(self.names)
+        rare = (low[self.low.at] & 1) == 0
+        ruled_out = _inside(np.maximum(self.far[rare] - size, 0), np.minimum(self.near[rare] + 1, n), n)
+        start, end = self.parse.high
+        twice = (high[self.high.at] & 1) == 1
+        leads = np.zeros(len(self.high.first), np.int64)  # the first place in this batch
+        order = np.argsort(start, kind="stable")[::-1]
+        leads[self.high.at[order]] = order
+        first = ((high[self.high.at] & 2) == 2) & (leads[self.high.at] == np.arange(len(start)))
+        run_start, run_end, period = self.parse.runs
+        self.covered = _inside(np.concatenate([start[twice], run_start]), np.concatenate([end[twice], run_end]), n)
+        known = twice & ~first
+        skip = _inside(
+            np.concatenate([start[known], run_start + period]), np.concatenate([end[known], run_end]) - size + 1, n
+        )
+        whole = np.arange(n) + size <= self.starts[1:][self.text] if n else np.empty(0, bool)
+        self.window = np.flatnonzero(whole & ~ruled_out & ~skip)
+        told = np.concatenate([[0], np.cumsum(self.covered)])
+        self.open = told[self.window + size] - told[self.window] < size
+        return Keys(*(_chained(self.names, self.window, size, salt) for salt in (1, 2)))
+
+    def removed(self, keys: Keys, flags: np.ndarray) -> np.ndarray:
+        """Which words go, once the windows are answered too."""
+        again = self.window[self.open & ((flags[keys.at] & 1) == 1)]
+        return self.covered | _inside(again, again + self.size, len(self.names))
+
+
+def _chained(names: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """A name of the ``size`` words from each place."""
+    out = np.full(len(at), salt, np.uint64)
+    for j in range(size):
+        out = mixed(out * np.uint64(2 * salt + 3) + names[at + j])
+    return out
 
 
 def remove_repeats(
@@ -258,44 +176,59 @@ def remove_repeats(
 ) -> DataFrame:
     """Every row of ``docs`` without the words that a window of ``size`` words covers which starts anywhere else too.
 
-    Returns the id, the columns named in ``carry``, ``text`` (kept words joined by one blank), ``n_words`` and
+    Returns the id, the columns named in ``carry``, the text (kept words joined by one blank), ``n_words`` and
     ``n_removed`` (words before, words taken out). Words are ASCII-blank separated and compared unchanged; windows are
     judged on the input, within and across texts. Null texts have no words and become empty; texts shorter than a
     window only have their blanks evened. Rows repeated whole repeat each other, so those of a window or more become
     empty. A null id stays null. An empty table gives none; columns not named are not read.
     """
-    rows = texts(docs, id_col, text_col).withColumn("hash", F.hash("text"))
+    rows = texts(docs, id_col, text_col)
     if carry:
         rows = docs.select(
             F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-            F.struct(*carry).alias("carried"),
-        ).withColumn("hash", F.hash("text"))
-    rows = rows.withColumn("did", F.coalesce("id", F.xxhash64("text")))
-    marked = rows.join(repeats(rows.select("did", "hash", "text"), size, low_rounds), ["did", "hash"], "left")
-
-    def cut(batches):
-        for batch in bounded(batches):
-            kept, n, gone = [], [], []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                words = text.encode().split()
-                n.append(len(words))
-                if ranges:
-                    told = np.array([(x["pos"], x["pos"] + x["len"]) for x in ranges], np.int64)
-                    out = _inside(told[:, 0], told[:, 1], len(words))
-                    words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
-                gone.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            columns = [batch.column("id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
-            names = ["id", "text", "n_words", "n_removed"]
-            if carry:
-                columns, names = [*columns, batch.column("carried")], [*names, "carried"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
+            F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried"),
+        )
+    ranges = ranges_for(rows, RANGE_BYTES)
+
+    def ask_symbols(batches):
+        for number, batch in numbered(batches, BATCH_BYTES):
+            found = Repeats(batch.column("text").to_pylist(), size, low_rounds)
+            yield questions(number, [found.low, found.high], ranges)
+
+    def compared(mine: pa.Table, told: pa.Table) -> tuple[int, pa.Table, Repeats, Keys]:
+        number, table = opened(mine)
+        found = Repeats(table.column("text").to_pylist(), size, low_rounds)
+        return number, table, found, found.windows(*flags_of(told, [(0, found.low), (1, found.high)], ranges))
+
+    def ask_windows(mine: pa.Table, told: pa.Table) -> pa.Table:
+        number, _, _, keys = compared(mine, told)
+        asked = questions(number, [keys], ranges)
+        return pa.Table.from_batches([asked.set_column(0, "part", pa.array(np.asarray(asked.column("part")) + 2 * ranges))])
+
+    def cut(mine: pa.Table, told: pa.Table) -> pa.Table:
+        _, table, found, keys = compared(mine, told)
+        keep = (~found.removed(keys, *flags_of(told, [(2, keys)], ranges))).tolist()
+        starts = found.starts.tolist()
+        kept = [list(compress(own, keep[a:b])) for own, a, b in zip(found.words, starts, starts[1:], strict=False)]
+        n = np.diff(found.starts)
+        columns = {
+            "id": table.column("id"), "text": pa.array([b" ".join(x).decode() for x in kept], pa.string()),
+            "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - [len(x) for x in kept], pa.int64()),
+        }
+        return pa.table(columns | ({"carried": table.column("carried")} if carry else {}))
+
+    told = stored(answers(rows.mapInArrow(ask_symbols, ASK)), "symbols")
+    more = stored(answers(_with(rows, told, ask_windows, ASK)), "windows")
     ddl = "id bigint, text string, n_words bigint, n_removed bigint"
     if carry:
         ddl += f", carried {rows.schema['carried'].dataType.simpleString()}"
-    out = marked.select("id", "text", "ranges", *(["carried"] if carry else [])).mapInArrow(cut, ddl)
+    out = _with(rows, told.union(more), cut, ddl)
     return out.select(
         F.col("id").alias(id_col), *(F.col(f"carried.`{c}`").alias(c) for c in carry), F.col("text").alias(text_col),
         "n_words", "n_removed",
     )
+
+
+def _with(rows: DataFrame, told: DataFrame, step, ddl: str) -> DataFrame:
+    """``step`` on each batch of texts and the answers to it."""
+    return held(rows, BATCH_BYTES).groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(step, ddl)
