@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import bounded, stored, texts
+from .batches import cuts, held, numbered, opened, pack, pack_names, ranges_for, unpack, unpack_names
+from .common import stored, texts
 from .words import folded, mixed, named
 
 #: Bytes of text in a batch and for each range of names; counts up to this are discounted by Good-Turing, larger ones
@@ -64,60 +63,27 @@ class Tokens:
         self.pair_counts = np.bincount(self.pair_at, self.train, len(self.pairs)).astype(np.int64)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def pack_names(names: np.ndarray) -> bytes:
-    """Ascending distinct names as their gaps, byte planes apart, so that the high bytes compress away."""
-    gaps = np.diff(names, prepend=np.uint64(0)).astype("<u8")
-    return _pack(gaps.view(np.uint8).reshape(-1, 8).T)
-
-
-def unpack_names(data: bytes) -> np.ndarray:
-    planes = _unpack(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
 REQUEST = "part bigint, batch bigint, names_ binary, counts binary, flags binary"
 
 
 def _requests(rows: DataFrame, ranges: int, folds: int, fold: int) -> DataFrame:
     """A row per batch, order and range of names; part is twice the range, plus the order less one."""
-    shift = np.uint64(64 - ranges.bit_length() + 1)
-
     def emit(batches):
-        for batch, ids, items in _numbered(batches):
-            t = Tokens(items, held_out(ids, folds, fold))
+        for number, batch in numbered(batches, BATCH_BYTES):
+            t = Tokens(batch.column("text").to_pylist(), held_out(batch.column("id").to_pylist(), folds, fold))
             out: list[tuple] = []
             for order, names, counts, flags in (
                 (0, t.words, t.word_counts, t.asked), (1, t.pairs, t.pair_counts, np.zeros(len(t.pairs), bool))
             ):
-                part = (names >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(names), np.int64)
-                cut = np.searchsorted(part, np.arange(ranges + 1))
-                for r in np.flatnonzero(np.diff(cut)).tolist():
-                    own = slice(cut[r], cut[r + 1])
+                for r, own in cuts(names, ranges):
                     out.append((
-                        2 * r + order, batch, pack_names(names[own]), _pack(counts[own].astype("<u4")), _pack(np.packbits(flags[own]))
+                        2 * r + order, number, pack_names(names[own]), pack(counts[own].astype("<u4")), pack(np.packbits(flags[own]))
                     ))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["part", "batch", "names_", "counts", "flags"])
 
     return rows.mapInArrow(emit, REQUEST)
 
 
-def _numbered(batches):
-    """(number, ids, texts) of the batches of a partition. Numbers are the same whenever the rows are read again."""
-    context, n = TaskContext.get(), 0
-    for batch in bounded(batches, limit=BATCH_BYTES):
-        if batch.num_rows:
-            yield (context.partitionId() << 32) + n, batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            n += 1
-
-
 ANSWER = pa.schema([
     ("kind", pa.string()), ("part", pa.int64()), ("batch", pa.int64()), ("names_", pa.binary()), ("counts", pa.binary()),
     ("flags", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("of_counts", pa.list_(pa.int64())),
@@ -131,8 +97,8 @@ ANSWER_DDL = (
 def _answers(table: pa.Table) -> pa.Table:
     """A range of names: its model row, and one row for each batch that asked, in the order it asked."""
     names = [unpack_names(x) for x in table.column("names_").to_pylist()]
-    counts = [_unpack(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
-    asked = [np.unpackbits(_unpack(x, np.uint8), count=len(n)) for x, n in zip(table.column("flags").to_pylist(), names, strict=True)]
+    counts = [unpack(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
+    asked = [np.unpackbits(unpack(x, np.uint8), count=len(n)) for x, n in zip(table.column("flags").to_pylist(), names, strict=True)]
     batches = table.column("batch").to_numpy()
     sizes = [len(n) for n in names]
     flat, at = np.unique(np.concatenate(names), return_inverse=True)
@@ -146,13 +112,13 @@ def _answers(table: pa.Table) -> pa.Table:
     part, seen = table.column("part")[0].as_py(), total > 0
     counted = seen & (flat != START) if part % 2 == 0 else seen
     rows = [(
-        "model", part, None, pack_names(flat[seen]), _pack(total[seen]), None, int(total[counted].sum()), int(counted.sum()),
+        "model", part, None, pack_names(flat[seen]), pack(total[seen]), None, int(total[counted].sum()), int(counted.sum()),
         np.bincount(np.minimum(total[counted], LARGEST + 2), minlength=LARGEST + 3)[1:LARGEST + 2].tolist(),
     )]
     cut = np.cumsum([0, *sizes])
     for i, batch in enumerate(batches.tolist()):
         mine = slice(cut[i], cut[i + 1])
-        rows.append(("answer", part, batch, None, _pack(total[at[mine]]), _pack(flags[mine].astype(np.uint8)), None, None, None))
+        rows.append(("answer", part, batch, None, pack(total[at[mine]]), pack(flags[mine].astype(np.uint8)), None, None, None))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ANSWER, strict=True)], schema=ANSWER)
 
 
@@ -269,8 +235,7 @@ def katz_scores(
     training text every token has probability one in ``score``. An empty table gives none. Other columns are not read.
     """
     rows = texts(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(16, 1 << max(0, -(-size // RANGE_BYTES) - 1).bit_length())
+    ranges = ranges_for(rows, RANGE_BYTES, 16)
     answered = stored(_requests(rows, ranges, folds, fold).groupBy("part").applyInArrow(_answers, ANSWER_DDL), "ngrams")
     order = F.col("part") % 2
     model = Model.of(
@@ -280,16 +245,8 @@ def katz_scores(
         ).collect()
     )
 
-    def hold(batches):
-        for batch, ids, items in _numbered(batches):
-            data = pa.BufferOutputStream()
-            table = pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array(items, pa.large_string())})
-            with pa.ipc.new_stream(data, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([data.getvalue().to_pybytes()], pa.binary())], ["batch", "data"])
-
     def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        table = pa.ipc.open_stream(mine.column("data")[0].as_buffer()).read_all()
+        number, table = opened(mine)
         answers = answers.sort_by("part")
         parts = answers.column("part").to_numpy()
         pairs = list(zip(answers.column("counts").to_pylist(), answers.column("flags").to_pylist(), strict=True))
@@ -297,15 +254,14 @@ def katz_scores(
         for which in (0, 1):
             own = [pairs[i] for i in np.flatnonzero(parts % 2 == which)]
             got.append((
-                np.concatenate([_unpack(a, "<i8") for a, _ in own]), np.concatenate([_unpack(b, np.uint8) for _, b in own])
+                np.concatenate([unpack(a, "<i8") for a, _ in own]), np.concatenate([unpack(b, np.uint8) for _, b in own])
             ))
         return _scored(
-            table.column("id").to_pylist(), table.column("text").to_pylist(), got, mine.column("batch")[0].as_py(), model, folds, fold
+            table.column("id").to_pylist(), table.column("text").to_pylist(), got, number, model, folds, fold
         )
 
-    kept = rows.mapInArrow(hold, "batch bigint, data binary")
     asked = answered.where("kind = 'answer'").select("part", "batch", "counts", "flags")
-    scored = stored(kept.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(score, SCORED_DDL), "scored")
+    scored = stored(held(rows, BATCH_BYTES).groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(score, SCORED_DDL), "scored")
     sums = scored.where("context is not null").groupBy("context").agg(
         F.max("total").alias("total"), F.sum("mass").alias("mass"), F.sum("below").alias("below")
     )
