@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .common import bounded, record, texts
 
 #: Pieces kept with their ids by a worker, and characters cut into pieces at once.
-KEPT_PIECES, SEGMENT = 500_000, 1 << 20
-BLANK_INSIDE = re.compile(r"(?<=\S) ")
+KEPT_PIECES, SEGMENT = 800_000, 1 << 20
+BLANK_INSIDE, UNSAFE_BLANK = re.compile(r"(?<=\S) "), re.compile(r"(?:\A|\s) ")
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
@@ -92,52 +92,64 @@ class Encoder:
             return np.asarray(self.tool.encode(item), "<u4").tobytes()
         return np.asarray(self.tool.encode_batch_fast([item], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _together(self, pieces: list) -> None:
-        """Learn pieces in one text, which is then taken apart: by the bytes of its tokens, or by their places."""
+    def _together(self, groups: list[list]) -> None:
+        """Learn pieces in joined texts, which are then taken apart: by the bytes of tokens, or by their places."""
         if self.style == "lead":
-            found = self.tool.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0]
-            ids = np.asarray(found.ids, "<u4")
-            places = np.cumsum(self.spelled[ids])
-            ends = np.searchsorted(places, np.cumsum([len(x.encode()) + 1 for x in pieces]), "right")
+            joined = [" " + " ".join(own) for own in groups]
+            found = self.tool.encode_batch_fast(joined, add_special_tokens=False)
         else:
-            items = [x.decode() for x in pieces]
-            found = self.tool.encode(" ".join(items), add_special_tokens=False)
-            ids = np.asarray(found.ids, "<u4")
-            places = np.asarray(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            ends = np.searchsorted(places, np.cumsum([len(x) + 1 for x in items]), "left")
-        data, start = ids.tobytes(), 0
-        for piece, end in zip(pieces, ends.tolist(), strict=True):
-            self.known[piece] = self.value(data[4 * start:4 * end])
-            start = end
-
-    def _learn(self, wanted: set) -> None:
-        missing = wanted.difference(self.known)
-        if len(self.known) + len(missing) > KEPT_PIECES:
-            self.known = {x: self.known[x] for x in wanted.intersection(self.known)}
+            spelled = [[x.decode() for x in own] for own in groups]
+            found = self.tool.encode_batch([" ".join(own) for own in spelled], add_special_tokens=False)
+        for k, (own, one) in enumerate(zip(groups, found, strict=True)):
+            ids = np.asarray(one.ids, "<u4")
+            if self.style == "lead":
+                places = np.cumsum(self.spelled[ids])
+                ends = np.searchsorted(places, np.cumsum([len(x.encode()) + 1 for x in own]), "right")
+            else:
+                places = np.asarray(one.offsets, np.int64).reshape(-1, 2)[:, 0]
+                ends = np.searchsorted(places, np.cumsum([len(x) + 1 for x in spelled[k]]), "left")
+            data, start = ids.tobytes(), 0
+            for piece, end in zip(own, ends.tolist(), strict=True):
+                self.known[piece] = self.value(data[4 * start:4 * end])
+                start = end
+
+    def _learn(self, missing: set) -> None:
         if self.style == "lead":  # the last piece of a text may end in white space, which binds to what follows
             for piece in [x for x in missing if x[-1:].isspace() or not x]:
                 missing.discard(piece)
                 self.known[piece] = self.value(self.whole(" " + piece))
         pieces = list(missing)
-        for start in range(0, len(pieces), 256):
-            self._together(pieces[start:start + 256])
+        groups = [pieces[start:start + 64] for start in range(0, len(pieces), 64)]
+        for start in range(0, len(groups), 64):
+            self._together(groups[start:start + 64])
+
+    def _looked_up(self, cut: list[list]) -> list[list]:
+        """The value of each piece; those not known are learnt, all of the batch at once."""
+        out = [list(map(self.known.get, own)) for own in cut]
+        missing: set = set()
+        gaps = [i for i, values in enumerate(out) if None in values]
+        for i in gaps:
+            missing.update([piece for piece, value in zip(cut[i], out[i], strict=True) if value is None])
+        if len(self.known) + len(missing) > KEPT_PIECES:  # go on with what this batch needs
+            self.known = {p: v for own, values in zip(cut, out, strict=True) for p, v in zip(own, values, strict=True) if v is not None}
+        self._learn(missing)
+        for i in gaps:
+            own = cut[i]
+            out[i] = [self.known[own[k]] if value is None else value for k, value in enumerate(out[i])]
+        return out
 
     def values(self, items: list[str]) -> Iterator[Iterable]:
         if self.style == "whole":
             for item in items:
                 yield [self.value(self.whole(item))]
         elif self.style == "drop":
-            cut = [item.encode().split() for item in items]
-            self._learn(set().union(*cut))
-            for own in cut:
-                yield map(self.known.__getitem__, own)
+            yield from self._looked_up([item.encode().split() for item in items])
         else:
-            cut = [BLANK_INSIDE.split(item) for item in items]
-            firsts = [own[0] for own in cut]
-            cut = [own[1:] for own in cut]
-            self._learn(set().union(*cut))
-            for first, own in zip(firsts, cut, strict=True):
-                yield [self.value(self.whole(first)), *map(self.known.__getitem__, own)]
+            cut = [BLANK_INSIDE.split(item) if UNSAFE_BLANK.search(item) else item.split(" ") for item in items]
+            firsts = [own.pop(0) for own in cut]
+            for first, values in zip(firsts, self._looked_up(cut), strict=True):
+                values.insert(0, self.value(self.whole(first)))
+                yield values
 
 
 def _size(ids: bytes) -> int:
