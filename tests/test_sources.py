@@ -1,3 +1,5 @@
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vacatlas.schema import RAW_POSTING
@@ -13,7 +15,12 @@ def test_union_batches_skips_what_fails(spark, tmp_path):
     a = spark.createDataFrame([("x", 1)], "title string, n int")
     b = spark.createDataFrame([("y",)], "title string")
     missing = lambda: spark.read.parquet(str(tmp_path / "none"))
-    rows = S.union_batches([(a, "DS", "NY"), (missing, "DS", "LA"), (lambda: b, "MLE", "SF")]).orderBy("title").collect()
+    batches = [(a, "DS", "NY"), (missing, "DS", "LA"), (lambda: b, "MLE", "SF")]
+    with pytest.raises(PySparkException):
+        S.union_batches(batches)
+    skipped = []
+    rows = S.union_batches(batches, skipped=skipped).orderBy("title").collect()
+    assert [x[:2] for x in skipped] == [("DS", "LA")]
     assert [(r.title, r.n, r.search_query, r.search_location) for r in rows] == [("x", 1, "DS", "NY"), ("y", None, "MLE", "SF")]
 
 
@@ -53,6 +60,12 @@ def test_snapshots(spark, tmp_path):
     assert latest.columns == ["posting_id"] and latest.count() == 1
     assert snapshots.read_latest(spark, root, "processed_jobs", "2024-01-07").count() == 2
     assert snapshots.run_dates(spark, root, "processed_jobs") == ["2024-01-07", "2024-01-14"]
+    snapshots.write_snapshot(df.limit(0), root, "processed_jobs", "2024-01-14")  # no rows replace rows
+    assert snapshots.read_latest(spark, root, "processed_jobs").count() == 0
+    snapshots.write_snapshot(df.limit(0), root, "empty", "2024-01-14")
+    assert snapshots.read_latest(spark, root, "empty").columns == ["posting_id"]
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_latest(spark, root, "none")
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -67,3 +80,6 @@ def test_csv_round_trip(spark, tmp_path):
     literal = spark.createDataFrame([("{'languages': ['r']}",)], "key_skills string")
     S.export_csv(literal, path)
     assert S.load_typed(spark, path).first().key_skills == {"languages": ["r"]}
+    text = "a\nb\r\n\\n c\\\\ \"d\", e"
+    S.export_csv(spark.createDataFrame([("1", text), ("2", None)], "site string, description string"), path)
+    assert {r.site: r.description for r in S.load_typed(spark, path).collect()} == {"1": text, "2": None}

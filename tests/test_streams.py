@@ -37,6 +37,15 @@ def test_refresh_equals_one_batch(spark, tmp_path):
     assert {r.batch for r in stored.select("batch").collect()} == {0, 1, 2}
 
 
+def test_refresh_without_a_checkpoint_goes_on(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in BATCHES:
+        rows(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        ingest.refresh_snapshot(ingest.posting_stream(spark, source), root, "processed_jobs")
+    ids = [r.posting_id for r in spark.read.parquet(f"{root}/processed_jobs").collect()]
+    assert len(ids) == len(set(ids))
+
+
 def test_stream_rows_equal_batch_rows(spark, tmp_path):
     source = str(tmp_path / "in")
     batch = rows(spark, BATCHES[0] + BATCHES[1])

@@ -184,7 +184,7 @@ def _tfidf(stop_words) -> str:
         FROM words),
       tf AS (SELECT doc_id, term, count(*) AS n FROM terms GROUP BY ALL),
       vocabulary AS (
-        SELECT term, sum(n) AS total, count(*) AS rows FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+        SELECT term, count(*) AS rows FROM tf GROUP BY term),
       raw AS (
         SELECT doc_id, term, n, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + rows)) + 1 AS idf
         FROM tf JOIN vocabulary USING (term)),
@@ -378,13 +378,18 @@ def oracles() -> dict[str, str]:
             FROM labelled WHERE latitude IS NOT NULL AND cluster_label IN (SELECT cluster_label FROM labelled
               WHERE latitude IS NOT NULL GROUP BY cluster_label HAVING count(*) >= 2) GROUP BY ALL"""),
         "tfidf_weights": _tfidf(STOP_WORDS),
-        "silhouette": """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-              ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 1000),
-            d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
-              FROM s a JOIN s b ON TRUE GROUP BY ALL),
+        "silhouette": """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+              FROM embeddings),
+            m AS (SELECT label, i, avg(x) AS mean, avg(x * x) AS square, count(*) AS n FROM e GROUP BY ALL),
+            d AS (SELECT vec_id, e.label AS own, m.label AS other, any_value(n) AS n,
+                sum(x * x + square - 2 * x * mean) * any_value(n) AS total
+              FROM e JOIN m USING (i) GROUP BY ALL),
             ab AS (SELECT vec_id, own AS label, max(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a,
               min(CASE WHEN own <> other THEN total / n END) AS b FROM d GROUP BY ALL)
             SELECT vec_id, label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) AS width FROM ab""",
+        "kmeans_embeddings": "SELECT count(*) AS rows, 10::BIGINT AS clusters, 0::BIGINT AS misplaced FROM embeddings",
+        "choose_k": """SELECT k::INT AS k, TRUE AS scored, TRUE AS consistent
+            FROM (SELECT unnest(range(5, 1 + least(15, (SELECT count(*) - 1 FROM embeddings)))) AS k)""",
         "cluster_labels": _with("labels", """SELECT cluster_id, cluster_label, count(*) AS n
             FROM lowered JOIN labels USING (cluster_id) GROUP BY ALL"""),
         "stream_ingest": _with("raw_enriched", "SELECT posting_id, region, state, yoe_min, salary_max_annual FROM raw_enriched"),

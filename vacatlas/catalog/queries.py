@@ -248,16 +248,23 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kmeans_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and mean silhouette of the clusters found in the stored vectors."""
-    found = C.kmeans(_vectors(spark, folder), 10, starts=3)
-    return found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+    """What holds of any clustering of the stored vectors: rows, clusters, and rows not at their nearest centre."""
+    vectors = _vectors(spark, folder)
+    model = C.fit_kmeans(vectors, 10)
+    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))
+    rows = C.measured(model.transform(vectors), "embedding", centres)
+    off = F.sum((F.get("distances", "cluster_id") > F.array_min("distances") + 1e-9).cast("int"))
+    return rows.agg(
+        F.count("*").alias("rows"), F.countDistinct("cluster_id").alias("clusters"), F.coalesce(off, F.lit(0)).alias("misplaced")
+    )
 
 
 def choose_k(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of the tried numbers of clusters, and which was chosen."""
-    best, scores = C.choose_k(_vectors(spark, folder), "vec_id", 8, 12, starts=2)
-    rows = [(k, float(score), k == best) for k, score in scores.items()]
-    return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+    """The numbers of clusters tried, whether each score is one, and whether the chosen one has the best."""
+    model, scores = C.choose_k(_vectors(spark, folder), "vec_id")
+    best = max(scores.values())
+    rows = [(k, -1 <= score <= 1, k != model.getK() or score == best) for k, score in sorted(scores.items())]
+    return spark.createDataFrame(rows, "k int, scored boolean, consistent boolean")
 
 
 def silhouette(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,7 +281,7 @@ def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def cluster_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Postings clustered by TF-IDF of their descriptions: sizes per label."""
-    found = C.cluster(_texts(spark, folder), min_clusters=8, max_clusters=9, starts=1, max_features=1000)
+    found = C.cluster(_texts(spark, folder))
     return found.groupBy("cluster_id", "cluster_label").agg(F.count("*").alias("n"))
 
 
@@ -315,10 +322,13 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _raw_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw postings as they are found in a folder of files."""
-    path = work_path(spark, "incoming")
-    postings(spark, folder).write.parquet(path)
-    return ingest.posting_stream(spark, path)
+    """Raw postings as orders come in; the documents are a fixed table. No copy is written."""
+    path = f"{folder}/orders.parquet"
+    orders = spark.read.parquet(path)
+    if [file.rpartition("/")[2] for file in orders.inputFiles()] == ["orders.parquet"]:  # a file, streamed from its folder
+        path = folder
+    stream = ingest.posting_stream(spark, path, orders.schema, "orders.parquet" if path == folder else None)
+    return postings(spark, folder, stream)
 
 
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:

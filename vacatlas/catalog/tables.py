@@ -72,25 +72,13 @@ STOP_WORDS = [
     "an", "are", "be", "or", "was", "he", "she", "they", "we", "you", "not", "but", "have", "has", "had",
 ]
 
-#: The column that identifies a row of each table.
-KEYS = {
-    "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "events": "event_id",
-}
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table, spread over the cores where its file is too small to split.
-
-    Tables of many splits are left as they are; nothing is moved at scale.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in KEYS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, KEYS[name])
-    return df
+    """A table as its files are split; the session's split size decides, nothing is moved."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw postings over the whole of both tables."""
+def postings(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
+    """Raw postings over the whole of both tables, or over a stream of orders."""
     sql = POSTINGS_SQL.replace("FROM orders)", "FROM {orders})").replace("documents", "{documents}")
-    return spark.sql(sql, **{name: table(spark, folder, name) for name in ("orders", "documents")})
+    return spark.sql(sql, orders=orders or table(spark, folder, "orders"), documents=table(spark, folder, "documents"))

@@ -70,7 +70,7 @@ def annual_salary(pay: Column) -> Column:
     number = F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "").try_cast("double")
     bare = F.regexp_extract(F.translate(text, ",$", ""), P.SALARY_NUMBER, 1).try_cast("double")
     amount = F.coalesce(number, bare)
-    amount = F.when(~F.isnan(amount), amount)
+    amount = F.when(F.abs(amount) < float("inf"), amount)  # neither infinite nor NaN, which is above all
     return (
         F.when(amount < HOURLY_BELOW, amount * HOURS_PER_YEAR)
         .when(amount < MONTHLY_BELOW, amount * MONTHS_PER_YEAR)
@@ -78,11 +78,12 @@ def annual_salary(pay: Column) -> Column:
     )
 
 
-def listed_items(text: Column, limit: int = 10) -> Column:
-    """Distinct bulleted, then numbered items longer than 20 characters."""
+def listed_items(text: Column, limit: int | None = None) -> Column:
+    """Distinct bulleted, then numbered items longer than 20 characters; all of them, or the first ``limit``."""
     hits = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in P.LISTED_ITEMS]
     items = F.array_distinct(F.transform(F.concat(*hits), strip))
-    return F.slice(F.filter(items, lambda item: F.length(item) > 20), 1, limit)
+    found = F.filter(items, lambda item: F.length(item) > 20)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def title_case(text: Column) -> Column:
@@ -91,10 +92,6 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
-def truncate(text: Column, length: int = 2000) -> Column:
-    return F.substring(text, 1, length)
-
-
 def usd(amount: Column) -> Column:
     """``$1,234``, half to even."""
     return F.concat(F.lit("$"), F.format_number(amount, 0))

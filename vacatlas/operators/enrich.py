@@ -117,7 +117,7 @@ def summarize(df: DataFrame, sentences: int = 3, important: Sequence[str] | None
     return staged.withColumn("summary", summary).drop("_sentences", "_blanks")
 
 
-def extract_responsibilities(df: DataFrame, limit: int = 10) -> DataFrame:
+def extract_responsibilities(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``responsibilities``: the listed items of the description."""
     return df.withColumn("responsibilities", X.listed_items(F.coalesce("description", F.lit("")), limit))
 

@@ -126,8 +126,3 @@ def min_support(df: DataFrame, key: str, value: str, min_rows: int = 5, min_grou
     rows = groups.agg(F.sum("_n")).scalar()
     valid = groups.where((F.col("_n") >= min_group) & (rows >= min_rows)).select(key)
     return valued.join(valid, key, "left_semi")
-
-
-def fits_cell(column: Column) -> Column:
-    """First 40 characters, what a cell of the printed tables holds."""
-    return X.truncate(column.cast("string"), 40)

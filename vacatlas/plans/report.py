@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import logging
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from ..operators import advice, aggregates as A
 from ..operators.facts import kept_facts
 from ..sources.snapshots import write_snapshot
 
-log = logging.getLogger(__name__)
 
 #: Tables of the report, in the order of its sections.
 TABLES = {
@@ -40,18 +37,12 @@ TABLES = {
 
 
 def report_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the report; one that cannot be built is left out with a warning.
+    """All tables of the report; one that cannot be built raises.
 
     The postings are read in one pass, for their facts; all tables come from these.
     """
     table = kept_facts(df)
-    built = {}
-    for name, build in TABLES.items():
-        try:
-            built[name] = build(table)
-        except PySparkException as error:
-            log.warning("report has no %s: %s", name, error)
-    return built
+    return {name: build(table) for name, build in TABLES.items()}
 
 
 def write_report(df: DataFrame, root: str, run_date: str) -> dict[str, str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,19 +29,11 @@ def session(app: str = "vacatlas", master: str | None = None, **settings: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    Only a local session without the setting gets a temporary folder, which is
-    then kept for the session.
-    """
+    """The folder all executors can reach: as the cluster names it, else below the warehouse, which they share too."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="vacatlas-"))
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work")
     return folder or context.getCheckpointDir()
 
 

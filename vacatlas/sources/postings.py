@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..dictionaries import SEARCH_LOCATIONS, SEARCH_TITLES
 from ..operators.enrich import is_home, search_country
@@ -37,19 +37,23 @@ def empty_jobs(spark: SparkSession) -> DataFrame:
 
 
 def union_batches(
-    batches: Iterable[tuple[DataFrame | Callable[[], DataFrame], str, str]], spark: SparkSession | None = None
+    batches: Iterable[tuple[DataFrame | Callable[[], DataFrame], str, str]], spark: SparkSession | None = None,
+    skipped: list[tuple[str, str, Exception]] | None = None,
 ) -> DataFrame:
     """Batches of (rows or a loader of rows, search query, search location) as one table.
 
-    Columns are united by name. A loader that fails is skipped with a warning.
-    Without any batch the result is the empty posting table.
+    Columns are united by name. A loader that fails raises, unless a list for ``skipped`` batches is given, which
+    then holds (query, location, error) of each. Without any batch the result is the empty posting table.
     """
     parts = []
     for batch, query, location in batches:
         try:
             rows = batch() if callable(batch) else batch
         except (PySparkException, OSError) as error:
+            if skipped is None:
+                raise
             log.warning("skipping %r in %r: %s", query, location, error)
+            skipped.append((query, location, error))
             continue
         parts.append(rows.withColumns({"search_query": F.lit(query), "search_location": F.lit(location)}))
     if not parts:
@@ -60,9 +64,9 @@ def union_batches(
     return union
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of collected Parquet batches; unreadable files are skipped."""
-    return spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path)
+def read_batches(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """A folder of collected Parquet batches; an unreadable file raises, or is skipped where the caller asks for it."""
+    return spark.read.option("ignoreCorruptFiles", skip_corrupt).option("mergeSchema", "true").parquet(path)
 
 
 def search_grid(
@@ -96,21 +100,35 @@ def recent(df: DataFrame, as_of: str | datetime, hours: int = 168, column: str =
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; skill maps as JSON."""
+    """CSV with a header; skill maps as JSON. Line breaks in texts are escaped, so that a row stays one line."""
     nested = [name for name, kind in df.dtypes if kind.startswith(("map", "array", "struct"))]
     df = df.withColumns({name: F.to_json(name) for name in nested})
+    df = df.withColumns({
+        name: F.replace(F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+        for name, kind in df.dtypes if kind == "string"
+    })
     df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
+def _unescaped(name: str) -> Column:
+    """Escaped line breaks and backslashes as they were; a private character keeps escaped backslashes apart."""
+    out = F.replace(name, F.lit("\\\\"), F.lit("\ue001"))
+    for code, char in (("\\n", "\n"), ("\\r", "\r"), ("\ue001", "\\")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
 def load_typed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A CSV table with its numbers as numbers and its skills as a map.
 
-    What is no number becomes null, what is no map an empty one. Descriptions
-    that still hold line breaks need ``multiline``, which reads a file in one piece.
+    What is no number becomes null, what is no map an empty one. Line breaks that ``export_csv`` escaped come back;
+    files of others with bare line breaks need ``multiline``, which reads a file in one piece and unescapes nothing.
     """
     df = (
         spark.read.option("header", "true").option("escape", '"').option("multiLine", multiline).csv(path)
     )
+    if not multiline:
+        df = df.withColumns({name: _unescaped(name) for name in df.columns})
     typed = {name: F.col(name).try_cast(kind) for name, kind in NUMERIC_COLUMNS.items() if name in df.columns}
     if "key_skills" in df.columns:
         empty = F.create_map().cast(KEY_SKILLS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Working columns that are not stored.
@@ -9,23 +10,20 @@ TRANSIENT = ["embedding"]
 
 
 def write_snapshot(df: DataFrame, root: str, stage: str, run_date: str) -> None:
-    """Store a stage under its date; a second run of the date replaces only that date."""
-    (
-        df.drop(*TRANSIENT)
-        .withColumn("run_date", F.lit(run_date))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date")
-        .parquet(f"{root}/{stage}")
-    )
+    """Store a stage under its date; a second run of the date replaces only that date, also by no rows at all."""
+    df.drop(*TRANSIENT).write.mode("overwrite").parquet(f"{root}/{stage}/run_date={run_date}")
 
 
 def run_dates(spark: SparkSession, root: str, stage: str) -> list[str]:
-    """Dates of the stored snapshots, from the names of their folders."""
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/{stage}/run_date=*")
-    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(status.getPath().getName().split("=", 1)[1] for status in files.globStatus(pattern))
+    """Dates of the stored snapshots, empty ones included, from the names of their files."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{stage}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    found = files.select(F.regexp_extract("path", r"/run_date=([^/]+)/[^/]+$", 1).alias("d")).where("d <> ''")
+    return sorted(r.d for r in found.distinct().collect())
 
 
 def read_latest(spark: SparkSession, root: str, stage: str, run_date: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -19,9 +20,12 @@ WEEK = "7 days"
 WEEK_START = "3 days"
 
 
-def posting_stream(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """New Parquet files of a folder; without a schema, that of the files there now."""
-    return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(path)
+def posting_stream(
+    spark: SparkSession, path: str, schema: StructType | None = None, names: str | None = None
+) -> DataFrame:
+    """New Parquet files of a folder, or those whose ``names`` fit; without a schema, that of the files there now."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
+    return (reader.option("pathGlobFilter", names) if names else reader).parquet(path)
 
 
 def enrich_stream(df: DataFrame) -> DataFrame:
@@ -82,24 +86,24 @@ def refresh_snapshot(
     keys, replacing it if the batch is run again. A batch is first collapsed to
     one row per key and per url, then compared with the stored keys, so that
     neither side of the comparison has a hot value. The result is that of
-    deduplicating all batches together.
+    deduplicating all batches together. Progress is kept beside the stage, so
+    that another call goes on where the last one ended.
     """
     spark = stream.sparkSession
     rows_path, keys_path = f"{root}/{stage}", f"{root}/{stage}_keys"
     keys_schema = f"key string, url string, kept boolean, {order} {dict(stream.dtypes)[order]}, batch bigint"
 
     def write(df: DataFrame, path: str, batch: int) -> None:
-        (
-            df.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-        )
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")  # a rerun batch of no rows replaces rows
 
     def refresh(rows: DataFrame, batch: int) -> None:
         session = rows.sparkSession
-        if batch == 0:
+        try:
+            stored = session.read.schema(keys_schema).parquet(keys_path).where(F.col("batch") != batch)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             stored = session.createDataFrame([], keys_schema)
-        else:
-            stored = session.read.schema(keys_schema).parquet(keys_path).where(F.col("batch") < batch)
         keyed = rows.select(order, posting_key(rows).alias("key"), "url")
         first = keyed.groupBy("key").agg(F.min(order).alias(order), F.min_by("url", order).alias("url"))
         new = first.join(stored.select("key"), "key", "left_anti")
@@ -115,7 +119,7 @@ def refresh_snapshot(
 
     query = (
         stream.writeStream.trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or work_path(spark, "refresh-state"))
+        .option("checkpointLocation", checkpoint or f"{root}/{stage}_state")
         .foreachBatch(refresh).start()
     )
     query.awaitTermination()
