@@ -8,6 +8,7 @@ many depending on the size class. The share found estimates containment; exact s
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 from math import ceil, comb
 
 import numpy as np
@@ -35,6 +36,13 @@ def least_hits(size: int, threshold: float, kept: int = KEPT, miss: float = MISS
     return max(1, hits)
 
 
+@lru_cache(maxsize=None)
+def class_hits(bits: int, threshold: float) -> int:
+    """The least that any size of a class, those of ``bits`` binary digits, needs; large classes by steps."""
+    first, last = 1 << (bits - 1), (1 << bits) - 1
+    return min(least_hits(size, threshold) for size in {*range(first, last, max(1, first // 256)), last})
+
+
 class Items:
     """The items of a block: their shingles, and the kept values by shingle width."""
 
@@ -51,8 +59,7 @@ class Items:
             item, size = len(self.ids), len(values)
             self.ids.append(key)
             self.exact.append((w, {b" ".join(words[i:i + w]) for i in range(len(words) - w + 1)}))
-            least = 1 << (size.bit_length() - 1)  # the size class: what its smallest member needs holds for all of it
-            self.hits.append(least_hits(least if size > KEPT else size, threshold))
+            self.hits.append(class_hits(size.bit_length(), threshold) if size > KEPT else least_hits(size, threshold))
             for value in values[np.argsort(mixed(values))][:KEPT].tolist():
                 by_width[w][value].append(item)
         self.kept = {}
