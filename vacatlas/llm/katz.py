@@ -26,7 +26,7 @@ from .words import folded, mixed, named
 
 #: Bytes of text in a batch and for each range of names; counts up to this are discounted by Good-Turing, larger ones
 #: by this much of one count, so that every context can back off.
-BATCH_BYTES, RANGE_BYTES, LARGEST, SLIGHT = 12 << 20, 4 << 20, 5, 0.01
+BATCH_BYTES, RANGE_BYTES, LARGEST, SLIGHT = 6 << 20, 4 << 20, 5, 0.01
 #: Names of the end token and of the start context; no word holds a blank.
 END, START = (np.uint64(xxh3_64_intdigest(x)) for x in (b" end", b" start"))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
