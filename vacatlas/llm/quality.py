@@ -131,7 +131,7 @@ def fit(parts: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: i
     keeps its first filters and answers with the share of label 1, or one half without any label."""
     model = initial(seed)
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         model["out"][:] = 0
         model["out_bias"][:] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return model
