@@ -175,6 +175,16 @@ def _box(step: str, key: str, value: str, where: str = "TRUE") -> str:
     )
 
 
+def _histogram(value: str, bins: int) -> str:
+    return _with("processed", f"""SELECT bin, {_r(f'lo + bin * ((hi - lo) / {bins})', 'low')},
+          {_r(f'lo + (bin + 1) * ((hi - lo) / {bins})', 'high')}, count(x) AS n
+        FROM (SELECT unnest(range(0, {bins})) AS bin, lo, hi FROM s)
+        LEFT JOIN (SELECT x, least(floor((x - lo) / ((hi - lo) / {bins})), {bins} - 1) AS b FROM v, s) ON b = bin
+        GROUP BY bin, lo, hi""",
+        v=f"SELECT {value}::DOUBLE AS x FROM processed WHERE {value} IS NOT NULL",
+        s="SELECT min(x) AS lo, max(x) AS hi FROM v")
+
+
 def _tfidf(stop_words) -> str:
     return rf"""WITH words AS (
         SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[{WORD}]{{2,}}'), lambda w: w NOT IN {_in(stop_words)}) AS w
@@ -195,7 +205,6 @@ def _tfidf(stop_words) -> str:
 _WEEK = "DATE '1970-01-04' + (floor(date_diff('day', DATE '1970-01-04', {d}) / 7) * 7)::INT"
 _SENTENCE_BREAK = "chr(57344)"
 _IMPORTANT = [w for words in SKILLS.values() for w in words] + IMPORTANT_WORDS
-_BINS = 30
 
 
 def oracles() -> dict[str, str]:
@@ -326,13 +335,10 @@ def oracles() -> dict[str, str]:
         "yoe_histogram": _with("processed", f"""SELECT bin, count(x) AS n, {_r('(SELECT quantile_cont(x::DOUBLE, 0.5) FROM v)', 'median')}
             FROM (SELECT unnest(range(0, 21)) AS bin) LEFT JOIN v ON floor(x) = bin GROUP BY bin""",
             v="SELECT least(greatest(yoe_min, 0), 20) AS x FROM processed WHERE yoe_min IS NOT NULL"),
-        "salary_histogram": _with("processed", f"""SELECT bin, {_r(f'lo + bin * ((hi - lo) / {_BINS})', 'low')},
-              {_r(f'lo + (bin + 1) * ((hi - lo) / {_BINS})', 'high')}, count(x) AS n
-            FROM (SELECT unnest(range(0, {_BINS})) AS bin, lo, hi FROM s)
-            LEFT JOIN (SELECT x, least(floor((x - lo) / ((hi - lo) / {_BINS})), {_BINS - 1}) AS b FROM v, s) ON b = bin
-            GROUP BY bin, lo, hi""",
-            v="SELECT salary_max_annual AS x FROM processed WHERE salary_max_annual IS NOT NULL",
-            s="SELECT min(x) AS lo, max(x) AS hi FROM v"),
+        "salary_histogram": _histogram("salary_max_annual", 30),
+        "years_histogram": _histogram("yoe_min", 20),
+        "box_stats_region_all": _box("processed", "region", "salary_max_annual"),
+        "exclude_other": _with("processed", "SELECT posting_id, region FROM processed WHERE region IS DISTINCT FROM 'Other'"),
         "yoe_kpis": _with("processed", f"""SELECT {_r(_median('yoe_min'), 'median')},
             (SELECT yoe_min::DOUBLE FROM processed WHERE yoe_min IS NOT NULL GROUP BY yoe_min
               ORDER BY count(*) DESC, yoe_min LIMIT 1) AS mode,

@@ -227,6 +227,10 @@ def min_support(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("posting_id", "company", "salary_max_annual")
 
 
+def exclude_other(spark: SparkSession, folder: str) -> DataFrame:
+    return B.exclude_other(processed(spark, folder)).select("posting_id", "region")
+
+
 def international(spark: SparkSession, folder: str) -> DataFrame:
     return B.international_points(labelled(spark, folder))
 
@@ -281,7 +285,7 @@ def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def cluster_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Postings clustered by TF-IDF of their descriptions: sizes per label."""
-    found = C.cluster(_texts(spark, folder))
+    found = C.cluster(_texts(spark, folder), starts=1)
     return found.groupBy("cluster_id", "cluster_label").agg(F.count("*").alias("n"))
 
 
@@ -382,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "search_text": search_text,
     "min_support": min_support,
     "international": international,
+    "exclude_other": exclude_other,
     # statistics
     "kpis": _on(_facts_of("company", "category", "salary_region", "years_region"), A.kpis),
     "category_counts": _on(_facts_of("category"), A.category_counts),
@@ -400,6 +405,7 @@ QUERIES: dict[str, Query] = {
     "median_salary_rank": _on(_facts_of("salary_category"), A.median_salary_rank, "median_salary"),
     "median_salary_by_region": _on(processed, A.median_salary_rank, "median_salary", by="region"),
     "box_stats_region": _on(processed, A.box_stats, "q1", "median", "q3", fact="salary_region", with_other=False),
+    "box_stats_region_all": _on(processed, A.box_stats, "q1", "median", "q3", fact="salary_region"),
     "box_stats_cluster": _on(
         _facts_of("salary_category"), A.box_stats, "q1", "median", "q3", fact="salary_category"
     ),
@@ -408,6 +414,7 @@ QUERIES: dict[str, Query] = {
     ),
     "yoe_histogram": _on(processed, A.yoe_histogram, "median"),
     "salary_histogram": _on(processed, A.histogram, "low", "high"),
+    "years_histogram": _on(processed, A.histogram, "low", "high", fact="years_region", bins=20),
     "yoe_kpis": _on(processed, A.yoe_kpis, "median", "entry_pct"),
     "yoe_bands": _on(processed, A.yoe_bands, "median", "entry_pct"),
     "crosstab_wide": _on(
