@@ -135,6 +135,8 @@ def test_substrings_of_edge_cases(spark):
     found = sorted(map(tuple, substrings.remove_repeats(df).collect()), key=str)
     assert found == sorted([(1, "", 50, 50), (1, "", 50, 50), (None, "a b", 2, 0), (None, "", 0, 0)], key=str)
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "7 as N_Words", "8 as id")
+    assert {(r.N_Words, r.id) for r in substrings.remove_repeats(clash, carry=("N_Words", "id")).collect()} == {(7, 8)}
 
 
 def test_symbols_inside_equal_windows_are_equal():

@@ -17,7 +17,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh3_128_digest
 
 from .batches import ASK, Keys, answers, flags_of, held, numbered, opened, questions, ranges_for
@@ -177,7 +177,7 @@ def remove_repeats(
     """Every row of ``docs`` without the words that a window of ``size`` words covers which starts anywhere else too.
 
     Returns the id, the columns named in ``carry``, the text (kept words joined by one blank), ``n_words`` and
-    ``n_removed`` (words before, words taken out). Words are ASCII-blank separated and compared unchanged; windows are
+    ``n_removed`` (words before, words taken out), unless a carried column has that name. Words are ASCII-blank separated and compared unchanged; windows are
     judged on the input, within and across texts. Null texts have no words and become empty; texts shorter than a
     window only have their blanks evened. Rows repeated whole repeat each other, so those of a window or more become
     empty. A null id stays null. An empty table gives none; columns not named are not read.
@@ -219,16 +219,17 @@ def remove_repeats(
 
     told = stored(answers(rows.mapInArrow(ask_symbols, ASK)), "symbols")
     more = stored(answers(_with(rows, told, ask_windows, ASK)), "windows")
-    ddl = "id bigint, text string, n_words bigint, n_removed bigint"
-    if carry:
-        ddl += f", carried {rows.schema['carried'].dataType.simpleString()}"
-    out = _with(rows, told.union(more), cut, ddl)
+    schema = T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()), *(T.StructField(f.name, f.dataType) for f in rows.schema if f.name == "carried"),
+    ])
+    out = _with(rows, told.union(more), cut, schema)
     return out.select(
         F.col("id").alias(id_col), *(F.col(f"carried.`{c}`").alias(c) for c in carry), F.col("text").alias(text_col),
-        "n_words", "n_removed",
+        *(c for c in ("n_words", "n_removed") if c not in {x.lower() for x in carry}),
     )
 
 
-def _with(rows: DataFrame, told: DataFrame, step, ddl: str) -> DataFrame:
+def _with(rows: DataFrame, told: DataFrame, step, schema: str | T.StructType) -> DataFrame:
     """``step`` on each batch of texts and the answers to it."""
-    return held(rows, BATCH_BYTES).groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(step, ddl)
+    return held(rows, BATCH_BYTES).groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(step, schema)
