@@ -117,7 +117,7 @@ def test_skills(one):
 
 def test_summary(one):
     sentences = [
-        "Our office is near the river.", "Each machine learning release is yours.",
+        "Our office is near the river.", "Each machine learning and sql release is yours, with python.",
         "Bring python and sql to the interview.", "Deep learning and nlp fill the week.",
         "Lunch is on the house.", "Start in the spring.",
     ]
@@ -130,7 +130,7 @@ def test_summary(one):
 def items(text):
     found = re.findall(r"[-•]\s*(.{20,150}?)(?=[-•\n]|$)", text, re.M)
     found += re.findall(r"\d+\.\s*(.{20,150}?)(?=\d+\.|$)", text, re.M)
-    return [i for i in dict.fromkeys(f.strip() for f in found) if len(i) > 20][:10]
+    return [i for i in dict.fromkeys(f.strip() for f in found) if len(i) > 20]
 
 
 def test_responsibilities_against_brute_force(one):
@@ -159,5 +159,5 @@ def test_small_expressions(spark):
         X.run_date(F.lit("2024-01-05 10:00:00").cast("timestamp")).alias("date"),
     ).first()
     assert tuple(row) == (
-        "$12,346", "1234.2", "2", "12.3%", "HUB", "a: b", "none", "a-b_c_d", "Ml Frameworks", 20, None, "2024-01-05", "ab",
+        "$12,346", "1234.2", "2", "12.3%", "HUB", "a: b", "none", "a-b_c_d", "Ml Frameworks", 20, None, "2024-01-05",
     )
