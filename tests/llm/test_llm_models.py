@@ -69,6 +69,15 @@ def test_katz_equals_brute_force(spark):
         assert any(got == w for w in want if w[0] == got[0]), (got, expected)
 
 
+def test_katz_of_more_than_128_partitions(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 147), "doc_id bigint, text string")
+    found = [tuple(r) for r in katz.katz_scores(df).collect()]
+    want = brute_katz(rows)
+    assert len(found) == len(want) and all(any(w == got for got in found) for w in want)
+    assert all(any(w == got for w in want) for got in found)
+
+
 def test_katz_of_empty_tables(spark):
     assert katz.katz_scores(documents(spark).limit(0)).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

@@ -177,12 +177,12 @@ class Model:
 
 
 SCORED = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("batch", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("base_score", pa.float64()), ("score", pa.float64()), ("unseen", pa.list_(pa.int64())),
     ("context", pa.int64()), ("total", pa.int64()), ("mass", pa.float64()), ("below", pa.float64()),
 ])
 SCORED_DDL = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
+    "batch bigint, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
     "unseen array<bigint>, context bigint, total bigint, mass double, below double"
 )
 
@@ -206,7 +206,7 @@ def _scored(ids: list, items: list[str], answers: list[tuple[np.ndarray, np.ndar
     unseen = np.flatnonzero(~found & (counts[t.context] > 0))
     cut = np.searchsorted(t.text[unseen], np.arange(n + 1)).astype(np.int32)
     texts_ = {
-        "row": (batch << 24) + np.arange(n), "doc_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": t.sizes,
+        "batch": np.full(n, batch), "row": np.arange(n), "doc_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": t.sizes,
         "n_known": np.bincount(t.text, count > 0, n).astype(np.int64), "base_score": base, "score": scores,
         "unseen": pa.ListArray.from_arrays(cut, t.words[t.context[unseen]].view(np.int64)),
     }
@@ -268,10 +268,11 @@ def katz_scores(
     weights = sums.select("context", F.log10((1 - F.col("mass") / F.col("total")) / (1 - F.col("below"))).alias("weight"))
     texts_ = scored.where("row is not null")
     backed = (
-        texts_.select("row", F.explode("unseen").alias("context")).groupBy("row", "context").agg(F.count("*").alias("times"))
-        .join(weights, "context").groupBy("row").agg(F.sum(F.col("times") * F.col("weight")).alias("backed"))
+        texts_.select("batch", "row", F.explode("unseen").alias("context"))
+        .groupBy("batch", "row", "context").agg(F.count("*").alias("times"))
+        .join(weights, "context").groupBy("batch", "row").agg(F.sum(F.col("times") * F.col("weight")).alias("backed"))
     )
-    return texts_.join(backed, "row", "left").select(
+    return texts_.join(backed, ["batch", "row"], "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score",
         (F.col("score") + F.coalesce("backed", F.lit(0.0))).alias("score"),
     )
