@@ -22,7 +22,7 @@ HEADLINE = [
     "dedup_postings", "clean_postings", "geocode", "yoe", "salary_annual", "skills_long", "summaries",
     "responsibilities", "title_words", "kpis", "region_stats", "cluster_summary", "box_stats_region",
     "crosstab_long", "top_skills", "city_density", "cluster_labels", "suggestions", "silhouette", "weekly_counts",
-    "filters_combined", "tfidf_weights", "kmeans_embeddings", "report_tables",
+    "filters_combined", "tfidf_weights", "kmeans_embeddings", "report_tables", "choose_k",
 ]
 
 

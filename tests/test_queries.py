@@ -5,6 +5,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SMALL
 from oracle import compare, connect
+from vacatlas.operators import clustering as C
 
 CHECKED = [
     "dedup_postings", "clean_postings", "clean_pages", "states", "yoe", "salary_annual", "skills_long", "summaries",
@@ -27,5 +28,18 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
+def test_cluster_postings_takes_the_starts_of_the_operator(spark, monkeypatch):
+    class Tried(Exception):
+        pass
+
+    def chosen(points, key, min_k, max_k, seed, starts):
+        raise Tried(min_k, max_k, starts)
+
+    monkeypatch.setattr(C, "choose_k", chosen)
+    with pytest.raises(Tried) as found:
+        queries()["cluster_postings"](spark, SMALL)
+    assert found.value.args == (5, 15, 10)
+
+
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
