@@ -78,6 +78,32 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, share, sho
     assert {tuple(r) for r in found} == brute_near(rows, width, share) and len(found) == len(rows)
 
 
+@pytest.mark.parametrize("short", [64, 1])
+def test_near_duplicates_of_one_id_on_several_texts(spark, monkeypatch, short):
+    monkeypatch.setattr(neardup, "SHORT_LIST", short)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    texts = [t for t in variants() if t and t.split()]
+    rows = [(i * 7 % 23, t) for i, t in enumerate(texts)]
+    sets = [frozenset(tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))) for w in (folded(t) for t in texts)]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 85 * len(x | y):
+                root[find(i)] = find(j)
+    first: dict = {}
+    for i, (key, _) in enumerate(rows):
+        first[find(i)] = min(key, first.get(find(i), key))
+    want = sorted((k, len(sets[i]), first[find(i)], k == first[find(i)]) for i, (k, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, neardup.near_duplicates(df, 3, (85, 100)).collect())) == want
+
+
 def test_near_duplicates_of_edge_cases(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b c d e f"), (None, "no id of its own"), (2, None), (None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -198,15 +198,16 @@ def near_duplicates(
     Documents are linked if the sets of their distinct ``width``-word shingles have a Jaccard similarity of at least
     share[0] / share[1]; the component is the least id that links reach. Words are ASCII-blank separated, A-Z in
     lower case; with fewer words the whole sequence is one shingle. Null and empty texts have an empty set and are
-    linked with nothing. Rows repeated whole are each reported. A row without an id stands with its copies: it takes
+    linked with nothing. Rows repeated whole are each reported; rows of one id with different texts are linked by
+    their own texts, each by itself. A row without an id stands with its copies: it takes
     their component, or none if no copy has an id, links nothing itself, and is not kept. An empty table gives none.
     Other columns are not read.
     """
     rows = texts(docs, id_col, text_col)
     found = stored(sketches(rows, width), "sketches")
-    classes = stored(
-        found.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        .where("cid is not null"), "classes",
+    classes = stored(  # an id may stand on rows of several sets, so classes have numbers of their own
+        found.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .where("least is not null").withColumn("cid", F.monotonically_increasing_id()), "classes",
     )
     entries = stored(keys(classes), "keys")
     sizes = entries.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
@@ -217,7 +218,8 @@ def near_duplicates(
     )
     pairs = stored(short_pairs(short, share), "pairs")
     long = listed.where(F.col("size") > SHORT_LIST).select("value", "cid", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long.select("cid")).distinct()
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long.select("cid")).distinct()
+    ids = classes.join(wanted, "cid", "left_semi").select(F.col("least").alias("id")).distinct()
 
     def full(batches):
         for batch in bounded(batches):
@@ -225,15 +227,16 @@ def near_duplicates(
             digests = _digests(sets)
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())
-            ], ["cid", "d1", "d2", "values"])
+            ], ["least", "d1", "d2", "values"])
 
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(full, "cid bigint, d1 bigint, d2 bigint, values binary")
-    chosen = classes.select("cid", "d1", "d2")  # an id may stand on rows of other sets too
-    sets = stored(sets.join(chosen, ["cid", "d1", "d2"], "left_semi").dropDuplicates(["cid"]).select("cid", "values"), "sets")
+    sets = rows.join(ids, "id", "left_semi").mapInArrow(full, "least bigint, d1 bigint, d2 bigint, values binary")
+    chosen = classes.select("cid", "least", "d1", "d2")
+    sets = stored(sets.join(chosen, ["least", "d1", "d2"]).dropDuplicates(["cid"]).select("cid", "values"), "sets")
     links = verified(pairs, sets, share).union(long_links(long, sets, share))
-    roots = components(links).withColumnRenamed("id", "cid")
-    roots = classes.select("d1", "d2", "cid").join(roots, "cid", "left").select(
-        "d1", "d2", F.coalesce("root", "cid").alias("component_id")
+    linked = components(links).withColumnRenamed("id", "cid").join(classes.select("cid", "least"), "cid")
+    first = linked.groupBy("root").agg(F.min("least").alias("first"))
+    roots = classes.select("d1", "d2", "cid", "least").join(linked.join(first, "root").select("cid", "first"), "cid", "left").select(
+        "d1", "d2", F.coalesce("first", "least").alias("component_id")
     )
     out = found.select("id", "n", "d1", "d2").join(roots, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
