@@ -157,7 +157,8 @@ def train(
     """Fit on at most ``sample_rows`` labelled rows whose crc32(id as text) mod ``folds`` is not ``held_out``.
 
     The rows are those of the least hashed ids, so the choice does not depend on how the table is cut. Null labels
-    and ids are left out; of several labels for one id the least counts.
+    and ids are left out; of several labels for one id the least counts. Of a text of more than ``SAMPLE_CHUNKS``
+    chunks so many, evenly spread, are fitted on. Every row of a chosen id is collected, also where ids repeat.
     """
     chosen = (
         labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"))
