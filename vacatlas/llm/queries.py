@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_path
-from .common import source
+from .common import crc_text, source
+from .conversations import repair, repair_report
 from .decontaminate import contaminated
 from .katz import katz_scores
 from .neardup import near_duplicates
@@ -68,6 +69,29 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults that the contract of op11 sets; nulls in a row's name, role and text are one space."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault = crc_text(F.concat(named[0], F.lit(":"), named[1])) % 20
+    text, role = (F.coalesce(c, F.lit(" ")) for c in ("text", "role"))
+    text = F.when(fault == 1, F.lit("")).when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    return rows.where(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, F.lit("user")).otherwise(role).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = source(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    found = repair_report(repair(damaged(rows)))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", none).alias("repaired_sha256")
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_katz": op2_katz,
@@ -79,6 +103,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversations": op11_conversations,
 }
 
 OP1 = """
