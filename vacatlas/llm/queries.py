@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import work_path
 from .common import crc_text, source
@@ -13,6 +15,7 @@ from .katz import katz_scores
 from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_scores, train
+from .secretscan import BASE, MORE, secret_spans
 from .substrings import remove_repeats
 from .tokenfile import read_tokens, write_tokens
 from .tokens import token_counts
@@ -92,6 +95,22 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_spans(source(spark, folder, "documents", "doc_id", "text"))
+    kinds = [rule.kind for rule in BASE]
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = listed(F.filter("spans", lambda s: s["kind"].isin(*kinds)))
+    return found.select(
+        "doc_id", *map(number, kinds), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_katz": op2_katz,
@@ -104,6 +123,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversations": op11_conversations,
+    "op12_secrets": op12_secrets,
 }
 
 OP1 = """
@@ -149,4 +169,34 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN root ON root.a = vec_id
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1, "op5_vectors": OP5, "op7_decontamination": OP7}
+
+
+def _either_case(pattern: str) -> str:
+    """A pattern with each letter outside of classes and escapes in either case, and no others that fold to it."""
+    return re.sub(r"(\[[^\]]*\]|\\x..|\\.)|([a-zA-Z])", lambda m: m[1] or f"[{m[2].upper()}{m[2].lower()}]", pattern)
+
+
+def _secrets_sql() -> str:
+    rules = []
+    for place, rule in enumerate(BASE + MORE):
+        pattern = (_either_case(rule.pattern) if rule.fold else rule.pattern).replace("'", "\'\'")
+        rules.append(f"SELECT {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, row, "
+                     f"regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS gaps, "
+                     f"list_transform(regexp_extract_all(t, '{pattern}'), lambda x: regexp_extract(x, '{pattern}', {rule.group})) AS g FROM d")
+    union = "\n  UNION ALL ".join(rules)
+    count = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({union}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (
+  SELECT row, place, kind, length(array_to_string(gaps[:i], '')) + length(array_to_string(m[:i - 1], '')) AS s, length(m[i]) AS n
+  FROM each WHERE length(g[i]) >= least)
+SELECT any_value(doc_id) AS doc_id, {count},
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, place) FILTER (place < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, place) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN spans USING (row) GROUP BY row
+"""
+
+
+SQL: dict[str, str] = {"op1_warc": OP1, "op5_vectors": OP5, "op7_decontamination": OP7, "op12_secrets": _secrets_sql()}
