@@ -21,6 +21,7 @@ from .tokenfile import read_tokens, write_tokens
 from .tokens import token_counts
 from .vectors import near_vectors
 from .warc import read_archives, write_archives
+from .whitening import whitened
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -111,6 +112,15 @@ def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """``deviation`` is null where it is beyond the range of long; the operator has it as a decimal."""
+    found = whitened(source(spark, folder, "embeddings", "vec_id", "embedding"))
+    return found.select(
+        F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_katz": op2_katz,
@@ -124,6 +134,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversations": op11_conversations,
     "op12_secrets": op12_secrets,
+    "op13_whitening": op13_whitening,
 }
 
 OP1 = """
