@@ -210,4 +210,75 @@ FROM d LEFT JOIN spans USING (row) GROUP BY row
 """
 
 
-SQL: dict[str, str] = {"op1_warc": OP1, "op5_vectors": OP5, "op7_decontamination": OP7, "op12_secrets": _secrets_sql()}
+def _conversations_sql() -> str:
+    """From the end of a conversation: for each state the least (cost, audit) and the lines that it leaves."""
+
+    def edit(letter: str, cost: str, rest: str, line: str | None = None) -> str:
+        lines = f"{rest}.p" if line is None else f"{line} || chr(10) || {rest}.p"
+        return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 'p': {lines}}}"
+
+    def best(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    roles, target, whole = ("user", "user", "assistant", "user"), (2, 2, 3, 2), "r || ':' || t"
+    kept = [[("s", 1), ("u", 2)], [("u", 2)], [("a", 3)], [("u", 2)]]
+    turn = []
+    for q in range(4):
+        rerole = edit("R", "3 + 3 * cut", f"s{target[q]}", f"'{roles[q]}:' || t")
+        keep = [edit("K", f"CASE WHEN left(r, 1) = '{i}' THEN 3 * cut ELSE 1000000 END", f"s{to}", whole) for i, to in kept[q]]
+        stay = best(edit("D", "4", f"s{q}"), rerole, *keep)
+        turn.append(f"CASE WHEN gone THEN {edit('D', '4', f's{q}')} ELSE {stay} END AS w{q}")
+    x2, x3 = best("w2", edit("I", "3", "w3", "'assistant:'")), best("w3", edit("I", "3", "w2", "'user:'"))
+    x0, x1 = (best(w, edit("I", "3", "x2", "'user:'")) for w in ("w0", "w1"))
+    nothing = "{'c': 0::BIGINT, 'a': '', 'p': ''}"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS name
+  FROM conversations),
+faulty AS (
+  SELECT conv_id, turn, r, named.t, xor(list_reduce(list_prepend(4294967295, name),
+    lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM named, t),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE r END AS r,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS t,
+    unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulty WHERE f <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS i FROM damaged),
+marked AS (
+  SELECT *, NOT regexp_matches(t, '[^\\x20\\x09-\\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, r, t ORDER BY i) > 1 AS seen,
+    lag(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(r, 1) AS pair FROM placed),
+judged AS (
+  SELECT *, blank OR seen AS gone,
+    (NOT (blank OR seen) AND NOT regexp_matches(t, '[.!?][\\x20\\x09-\\x0D]*\\z'))::BIGINT AS cut FROM marked),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, sum(cut)::BIGINT AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n + 1 AS i, {nothing} AS s0,
+    {{'c': 6::BIGINT, 'a': 'II', 'p': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s1,
+    {{'c': 3::BIGINT, 'a': 'I', 'p': 'assistant:' || chr(10)}} AS s2, {nothing} AS s3
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i, {x0} AS s0, {x1} AS s1, x2 AS s2, x3 AS s3 FROM (
+    SELECT *, {x2} AS x2, {x3} AS x3 FROM (
+      SELECT walk.conv_id, judged.i, {', '.join(turn)}
+      FROM walk JOIN judged ON walk.conv_id IS NOT DISTINCT FROM judged.conv_id AND judged.i = walk.i - 1))),
+found AS (SELECT counted.*, s0 FROM counted JOIN walk ON counted.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit,
+  sha256(coalesce(left(s0.p, greatest(length(s0.p) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN found ON e.conv_id IS NOT DISTINCT FROM found.conv_id
+"""
+
+
+SQL: dict[str, str] = {
+    "op1_warc": OP1, "op5_vectors": OP5, "op7_decontamination": OP7,
+    "op11_conversations": _conversations_sql(), "op12_secrets": _secrets_sql(),
+}
