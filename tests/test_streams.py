@@ -73,3 +73,33 @@ def test_weekly_counts_start_on_sunday(spark, tmp_path):
     expected = [("2023-12-31", "a", 1), ("2024-01-07", "a", 2)]
     for found in (streamed, ingest.weekly_counts(df, "title")):
         assert sorted((str(r.week), r.title, r.n) for r in found.collect()) == expected
+
+
+def test_weeks_close_and_late_rows_count_apart(spark, tmp_path):
+    """Every row is in one of closed, late and open weeks, and only open weeks are state."""
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    runs = [
+        [("a", "2024-01-01"), ("a", "2024-01-03"), ("b", "2024-01-04")],
+        [("a", "2024-01-20"), ("b", "2024-01-06")],  # on time: the watermark stands at 28 December
+        [("a", "2024-01-05"), ("b", "2024-01-19"), ("a", "2024-01-31")],  # the first is late: it stands at 13 January
+        [("b", "2024-01-02"), ("a", "2024-01-20"), ("a", "2024-01-25"), (None, "2024-02-20"), ("c", None)],
+    ]
+    held = []
+    for lines in runs:
+        df = spark.createDataFrame(lines, "title string, day string")
+        df.select("title", F.col("day").cast("date").alias("date_posted")).repartition(2).write.mode("append").parquet(source)
+        reports = ingest.run_weekly(lambda: ingest.posting_stream(spark, source), root, "title")
+        held.append(reports[-1]["stateOperators"][0]["numRowsTotal"])
+
+    def stored(kind):
+        return sorted(((str(r.week), r.title, r.n) for r in spark.read.parquet(f"{root}/{kind}").collect()), key=str)
+
+    assert stored("closed") == [
+        ("2023-12-31", "a", 2), ("2023-12-31", "b", 2), ("2024-01-14", "a", 1), ("2024-01-14", "b", 1),
+        ("2024-01-21", "a", 1), ("2024-01-28", "a", 1),
+    ]
+    assert stored("late") == [("2023-12-31", "a", 1), ("2023-12-31", "b", 1), ("2024-01-14", "a", 1)]
+    assert held == [2, 1, 1, 1]
+    before = stored("closed"), stored("late")
+    ingest.run_weekly(lambda: ingest.posting_stream(spark, source), root, "title")  # nothing new
+    assert (stored("closed"), stored("late")) == before

@@ -185,13 +185,17 @@ def _histogram(value: str, bins: int) -> str:
         s="SELECT min(x) AS lo, max(x) AS hi FROM v")
 
 
-def _tfidf(stop_words) -> str:
+def _terms(stop_words) -> str:
     return rf"""WITH words AS (
         SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[{WORD}]{{2,}}'), lambda w: w NOT IN {_in(stop_words)}) AS w
         FROM documents),
       terms AS (
         SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
-        FROM words),
+        FROM words)"""
+
+
+def _tfidf(stop_words) -> str:
+    return _terms(stop_words) + """,
       tf AS (SELECT doc_id, term, count(*) AS n FROM terms GROUP BY ALL),
       vocabulary AS (
         SELECT term, count(*) AS rows FROM tf GROUP BY term),
@@ -202,6 +206,26 @@ def _tfidf(stop_words) -> str:
       SELECT term, sum(n)::BIGINT AS n, round(max(idf), 6) AS idf, round(sum(weight), 6) AS weight FROM unit GROUP BY term"""
 
 
+def _lloyd(numbers: str, steps: int, select: str, **extra: str) -> str:
+    """``select`` over the assignments (kk, vec_id, k, d) after some steps, from the first kk vectors, for each kk."""
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL)",
+        f"numbers AS ({numbers})",
+        """c0 AS MATERIALIZED (SELECT kk, k, e AS c FROM numbers
+          JOIN (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM v) ON k < kk)""",
+    ]
+    for step in range(steps + 1):
+        parts.append(f"""a{step} AS MATERIALIZED (SELECT kk, vec_id, arg_min(k, list_distance(e, c)) AS k, min(list_distance(e, c)) AS d
+          FROM v JOIN c{step} ON TRUE GROUP BY kk, vec_id)""")
+        if step < steps:
+            parts.append(f"""c{step + 1} AS MATERIALIZED (SELECT kk, k, coalesce(m, c) AS c FROM c{step} LEFT JOIN (
+              SELECT kk, k, list(x ORDER BY i) AS m FROM (SELECT kk, k, i, avg(x) AS x FROM (
+                SELECT kk, k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{step} JOIN v USING (vec_id)) GROUP BY ALL)
+              GROUP BY kk, k) USING (kk, k))""")
+    parts += [f"{name} AS MATERIALIZED ({body})" for name, body in extra.items()]
+    return f"WITH {', '.join(parts)} {select}"
+
+
 _WEEK = "DATE '1970-01-04' + (floor(date_diff('day', DATE '1970-01-04', {d}) / 7) * 7)::INT"
 _SENTENCE_BREAK = "chr(57344)"
 _IMPORTANT = [w for words in SKILLS.values() for w in words] + IMPORTANT_WORDS
@@ -393,9 +417,27 @@ def oracles() -> dict[str, str]:
             ab AS (SELECT vec_id, own AS label, max(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a,
               min(CASE WHEN own <> other THEN total / n END) AS b FROM d GROUP BY ALL)
             SELECT vec_id, label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) AS width FROM ab""",
-        "kmeans_embeddings": "SELECT count(*) AS rows, 10::BIGINT AS clusters, 0::BIGINT AS misplaced FROM embeddings",
-        "choose_k": """SELECT k::INT AS k, TRUE AS scored, TRUE AS consistent
-            FROM (SELECT unnest(range(5, 1 + least(15, (SELECT count(*) - 1 FROM embeddings)))) AS k)""",
+        "kmeans_embeddings": _lloyd("SELECT 10 AS kk", 3, """
+            SELECT a3.k::INT AS cluster_id, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last,
+              round((SELECT sum(d * d) FROM a3), 6) AS cost FROM a3 GROUP BY a3.k"""),
+        "choose_k": _lloyd("""SELECT unnest(range(least(5, n - 1), 1 + least(15, n - 1))) AS kk
+            FROM (SELECT count(*) AS n FROM embeddings)""", 2, """
+            SELECT kk::INT AS k, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS score,
+              rank() OVER (ORDER BY round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 12) DESC, kk) = 1 AS chosen
+            FROM (SELECT kk, x, own, sum(total) FILTER (own = k) / nullif(sum(n) FILTER (own = k) - 1, 0) AS a,
+                min(total / n) FILTER (own <> k) AS b
+              FROM (SELECT p.kk, apart.x, p.k AS own, q.k AS k, sum(apart.d) AS total, count(*) AS n
+                FROM apart JOIN a2 p ON p.vec_id = apart.x JOIN a2 q ON q.vec_id = apart.y AND q.kk = p.kk GROUP BY ALL)
+              GROUP BY ALL) GROUP BY kk""",
+            apart="SELECT p.vec_id AS x, q.vec_id AS y, list_distance(p.e, q.e) AS d FROM v p JOIN v q ON TRUE"),
+        "silhouette_euclidean": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+              WHERE label IS NOT NULL AND embedding IS NOT NULL),
+            d AS (SELECT p.vec_id, p.label, q.label AS other, sum(list_distance(p.e, q.e)) AS total, count(*) AS n
+              FROM v p JOIN v q ON TRUE GROUP BY ALL),
+            ab AS (SELECT vec_id, label, max(total / nullif(n - 1, 0)) FILTER (label = other) AS a,
+                min(total / n) FILTER (label <> other) AS b FROM d GROUP BY ALL)
+            SELECT vec_id, label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) AS width FROM ab""",
+        "vocabulary": _terms(STOP_WORDS) + " SELECT term, count(*) AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 5000",
         "cluster_labels": _with("labels", """SELECT cluster_id, cluster_label, count(*) AS n
             FROM lowered JOIN labels USING (cluster_id) GROUP BY ALL"""),
         "stream_ingest": _with("raw_enriched", "SELECT posting_id, region, state, yoe_min, salary_max_annual FROM raw_enriched"),
@@ -403,5 +445,14 @@ def oracles() -> dict[str, str]:
         "stream_snapshot": _with("processed", "SELECT posting_id, region, salary_max_annual FROM processed"),
         "weekly_counts": _with("raw_enriched", f"""SELECT {_WEEK.format(d='date_posted')} AS week, region, count(*) AS n
             FROM raw_enriched GROUP BY ALL"""),
+        "weekly_closed": _with("raw_enriched", """
+            SELECT 'late' AS kind, week, region, count(*) AS n FROM judged WHERE late GROUP BY ALL
+            UNION ALL SELECT 'closed', week, region, count(*) FROM judged
+              WHERE NOT late AND week + 7 <= (SELECT max(date_posted) - 7 FROM judged) GROUP BY ALL""",
+            arrived=f"""SELECT date_posted, region, {_WEEK.format(d='date_posted')} AS week,
+              year(date_posted + CASE WHEN posting_id % 10 = 0 THEN 550 ELSE 0 END) AS run FROM raw_enriched""",
+            bounds="""SELECT run, max(last) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 7 AS bound
+              FROM (SELECT run, max(date_posted) AS last FROM arrived GROUP BY run)""",
+            judged="SELECT arrived.*, coalesce(week + 7 <= bound, FALSE) AS late FROM arrived JOIN bounds USING (run)"),
         "weekly_events": f"SELECT {_WEEK.format(d='ts::DATE')} AS week, event_type, count(*) AS n FROM events GROUP BY ALL",
     }

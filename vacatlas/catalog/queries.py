@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..dictionaries import CITY_COORDINATES
 from ..operators import advice, aggregates as A, clustering as C, enrich as E, filters as B, gazetteer
 from ..operators.dedup import dedup
-from ..operators.facts import kept_facts, skill_rows
+from ..operators.facts import kept_facts, skill_rows, with_scores
 from ..plans import report
 from ..plans.process import process
-from ..session import work_path
+from ..session import stored, work_path
 from ..sources import postings as S, snapshots
 from ..streaming import ingest
 from .tables import STOP_WORDS, postings, table
@@ -32,9 +33,13 @@ def grouped(df: DataFrame) -> DataFrame:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Processed postings with the label of their group."""
-    df = grouped(processed(spark, folder))
-    return C.apply_labels(df, C.label_clusters(df))
+    """Processed postings with the label of their group, without the texts.
+
+    The enriched rows are stored, as the explorer's table is: a filter on a column then reaches the scan of that
+    column, instead of having its expression copied below the stages. Texts are read once, for the label counts.
+    """
+    df = stored(with_scores(grouped(processed(spark, folder))).drop("description"), "processed")
+    return C.apply_labels(df, C.label_clusters(df)).drop("_scores")
 
 
 def _facts_of(*names: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -247,28 +252,45 @@ def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(totals, "idf", "weight")
 
 
+def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5,000 most frequent terms of all documents, by summaries that overflow on larger tables, and an exact recount."""
+    return C.vocabulary(table(spark, folder, "documents"), "text", stop_words=STOP_WORDS, capacity=1 << 14)
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return C.embed_column(table(spark, folder, "embeddings"), "embedding")
+    return C.embed_column(table(spark, folder, "embeddings").where("embedding IS NOT NULL"), "embedding")
+
+
+def _first_vectors(vectors: DataFrame, n: int) -> np.ndarray:
+    """Given centres: the vectors of the n least ids."""
+    return np.array([r["embedding"].toArray() for r in vectors.orderBy("vec_id").limit(n).collect()])
 
 
 def kmeans_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """What holds of any clustering of the stored vectors: rows, clusters, and rows not at their nearest centre."""
+    """Three steps of Lloyd's iteration from given centres: rows, least and greatest id of each cluster, and the cost of all."""
     vectors = _vectors(spark, folder)
-    model = C.fit_kmeans(vectors, 10)
-    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))
-    rows = C.measured(model.transform(vectors), "embedding", centres)
-    off = F.sum((F.get("distances", "cluster_id") > F.array_min("distances") + 1e-9).cast("int"))
-    return rows.agg(
-        F.count("*").alias("rows"), F.countDistinct("cluster_id").alias("clusters"), F.coalesce(off, F.lit(0)).alias("misplaced")
+    model = C.fit_kmeans(vectors, "vec_id", 10, initial=_first_vectors(vectors, 10), iterations=3, tolerance=0.0)
+    found = model.transform(vectors.select("vec_id", "embedding")).groupBy("cluster_id").agg(
+        F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last")
     )
+    return rounded(found.withColumn("cost", F.lit(float(model.cost))), "cost")
 
 
 def choose_k(spark: SparkSession, folder: str) -> DataFrame:
-    """The numbers of clusters tried, whether each score is one, and whether the chosen one has the best."""
-    model, scores = C.choose_k(_vectors(spark, folder), "vec_id")
-    best = max(scores.values())
-    rows = [(k, -1 <= score <= 1, k != model.getK() or score == best) for k, score in sorted(scores.items())]
-    return spark.createDataFrame(rows, "k int, scored boolean, consistent boolean")
+    """Numbers of clusters with their Euclidean silhouettes over all rows, after two steps from given centres."""
+    vectors = _vectors(spark, folder)
+    k, _, scores = C.choose_k(
+        vectors, "vec_id", sample=None, initial=_first_vectors(vectors, 15), iterations=2, tolerance=0.0
+    )
+    rows = [(number, round(float(score), 6), number == k) for number, score in sorted(scores.items())]
+    return spark.createDataFrame(rows, "k int, score double, chosen boolean")
+
+
+def silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
+    """Silhouettes by Euclidean distance of every row, in pairs of blocks."""
+    rows = table(spark, folder, "embeddings")
+    widths = C.euclidean_silhouette(rows, "vec_id", "embedding", ["label"])
+    return rounded(widths.select("vec_id", F.col("label").cast("int").alias("label"), "width"), "width")
 
 
 def silhouette(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,6 +374,30 @@ def weekly_counts(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.drain(_raw_stream(spark, folder), counts, mode="complete")
 
 
+#: Every tenth posting arrives so many days after its date.
+DELAYED, DELAY_DAYS = 10, 550
+
+
+def weekly_closed(spark: SparkSession, folder: str) -> DataFrame:
+    """Weeks closed by the watermark, and late rows apart, of postings that arrive in yearly runs, some much delayed."""
+    root = work_path(spark, "weekly")
+    rows = E.assign_region(E.clean_text(postings(spark, folder).select("posting_id", "location", "date_posted")))
+    delay = F.when(F.col("posting_id") % DELAYED == 0, DELAY_DAYS).otherwise(0)
+    arrived = stored(
+        rows.select("date_posted", "region", F.year(F.date_add("date_posted", delay)).alias("run")), "arrivals"
+    )
+    runs = [r.run for r in arrived.where(F.col("run").isNotNull()).select("run").distinct().orderBy("run").collect()]
+    for run in runs:
+        arrived.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{root}/in")
+        ingest.run_weekly(lambda: ingest.posting_stream(spark, f"{root}/in", arrived.drop("run").schema), root, "region")
+    schema = "week date, region string, n bigint"
+    kinds = [
+        spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/{kind}").select(F.lit(kind).alias("kind"), "*")
+        for kind in ("closed", "late")
+    ]
+    return kinds[0].unionByName(kinds[1]).groupBy("kind", "week", "region").agg(F.sum("n").alias("n"))
+
+
 def weekly_events(spark: SparkSession, folder: str) -> DataFrame:
     """The same counts over the events, in one batch."""
     events = table(spark, folder, "events")
@@ -435,6 +481,8 @@ QUERIES: dict[str, Query] = {
     "kmeans_embeddings": kmeans_embeddings,
     "choose_k": choose_k,
     "silhouette": silhouette,
+    "silhouette_euclidean": silhouette_euclidean,
+    "vocabulary": vocabulary,
     "cluster_labels": cluster_labels,
     "cluster_postings": cluster_postings,
     # advice and report
@@ -445,5 +493,6 @@ QUERIES: dict[str, Query] = {
     "stream_dedup": stream_dedup,
     "stream_snapshot": stream_snapshot,
     "weekly_counts": weekly_counts,
+    "weekly_closed": weekly_closed,
     "weekly_events": weekly_events,
 }

@@ -7,7 +7,7 @@ columns read off the order's keys. The SQL below runs unchanged on both engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 POSTINGS_SQL = """
 SELECT
@@ -78,7 +78,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def filled(df: DataFrame) -> int:
+    """Partitions that have rows. Only row counts of the files are read, no column."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that lies in fewer partitions than there are cores, dealt by ``key``; any other one as it is.
+
+    A row group is read by one task, however many splits its file is cut into, so splits that have rows are counted.
+    A table of many splits is never small enough to need it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 8 * cores or filled(df) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def postings(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
-    """Raw postings over the whole of both tables, or over a stream of orders."""
-    sql = POSTINGS_SQL.replace("FROM orders)", "FROM {orders})").replace("documents", "{documents}")
-    return spark.sql(sql, orders=orders or table(spark, folder, "orders"), documents=table(spark, folder, "documents"))
+    """Raw postings over the whole of both tables, or over a stream of orders.
+
+    Each document is the text of many postings, so the documents are spread before the join multiplies them.
+    """
+    sql = POSTINGS_SQL.replace("FROM orders)", "FROM {orders})").replace("JOIN documents", "JOIN {spread}").replace("documents", "{documents}")
+    documents = table(spark, folder, "documents")
+    return spark.sql(
+        sql, orders=orders or table(spark, folder, "orders"), documents=documents, spread=spread(documents, "doc_id")
+    )

@@ -107,6 +107,13 @@ def _labels(
     return labels_from_counts(part(SCORE, "category"), part(TITLE, "title"), k, categories)
 
 
+def with_scores(df: DataFrame, categories: Mapping[str, Sequence[str]] = CATEGORIES) -> DataFrame:
+    """Add ``_scores``, the keyword occurrences of each category, so that labels can be counted without the texts."""
+    lowered = df.withColumn("_lowered", F.lower(F.coalesce("description", F.lit(""))))
+    counts = {f"_c{i}": K.keyword_count("_lowered", words) for i, words in enumerate(categories.values())}
+    return lowered.withColumns(counts).withColumn("_scores", F.array(*counts)).drop("_lowered", *counts)
+
+
 def _row(fact: str, key: Column, item: Column, x: Column, y: Column, weight: Column) -> Column:
     return F.struct(
         F.lit(fact).alias("fact"), key.cast("string").alias("key"), item.cast("string").alias("item"),
@@ -127,12 +134,16 @@ def _counted(
         for name in names if name in FACTS and name != "skill"
     ]
     lists = []
-    if SCORE in names and "description" in df.columns:
-        df = df.withColumn("_lowered", F.lower(F.coalesce("description", F.lit(""))))
-        df = df.withColumns({f"_c{i}": K.keyword_count("_lowered", w) for i, w in enumerate(categories.values())})
+    if SCORE in names and ("_scores" in df.columns or "description" in df.columns):
+        if "_scores" in df.columns:
+            scores = [F.col("_scores")[i] for i in range(len(categories))]
+        else:
+            df = df.withColumn("_lowered", F.lower(F.coalesce("description", F.lit(""))))
+            df = df.withColumns({f"_c{i}": K.keyword_count("_lowered", w) for i, w in enumerate(categories.values())})
+            scores = [F.col(f"_c{i}") for i in range(len(categories))]
         rows += [
-            _row(SCORE, F.col("cluster_label"), F.lit(category), none, none, F.col(f"_c{i}"))
-            for i, category in enumerate(categories)
+            _row(SCORE, F.col("cluster_label"), F.lit(category), none, none, score)
+            for category, score in zip(categories, scores, strict=True)
         ]
     if "skill" in names and "key_skills" in df.columns:
         lists.append(

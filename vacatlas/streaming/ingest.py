@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -52,6 +54,66 @@ def weekly_counts(df: DataFrame, by: str, moment: str = "date_posted", start: st
     return counts.select(F.col("_window.start").cast("date").alias("week"), by, "n")
 
 
+def _last_moment(spark: SparkSession, path: str, batch: int) -> datetime | None:
+    """The latest event time of all batches before this one, or null."""
+    try:
+        seen = spark.read.schema("last timestamp, batch bigint").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return seen.where(F.col("batch") < batch).agg(F.max("last").alias("last")).first()["last"]
+
+
+def run_weekly(
+    stream: Callable[[], DataFrame], root: str, by: str, moment: str = "date_posted", delay: str = HORIZON,
+    start: str = WEEK_START,
+) -> list[dict]:
+    """One run over the new files of a stream: closed weeks are added to ``closed`` below ``root``, late rows to ``late``.
+
+    The watermark is the latest event time of all runs before, less ``delay``. A row is late if the watermark has passed
+    the end of its week: the week is closed and its state dropped, so the row counts in ``late`` alone. A week is closed,
+    and written once, by the run that moves the watermark past its end; until then it is state. So a row is in one of
+    closed, late and open weeks. Rows without a moment are in none. Both tables have (week, by, n); one week and group
+    can have several rows in ``late``, one for each run. Progress is kept below ``root``, and another call goes on there;
+    a run that failed half way is repeated as a whole, in the same batches. Progress reports are returned.
+
+    Rows are counted in the map tasks first, and state holds a row per open week and group, whatever the input.
+    """
+    counted = stream()
+    spark = counted.sparkSession
+    stamped = counted.withColumn("_ts", F.col(moment).cast("timestamp"))
+    weeks = F.window("_ts", WEEK, startTime=start)
+
+    def note_late(rows: DataFrame, batch: int) -> None:
+        session = rows.sparkSession
+        counts = rows.groupBy(weeks.alias("_window"), by).agg(F.count("*").alias("n"), F.max("_ts").alias("last")).persist()
+        try:
+            counts.agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{root}/seen/batch={batch}")
+            last = _last_moment(session, f"{root}/seen", batch)
+            bound = F.lit(last).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            late = counts.where(F.col("_window.end") <= bound)
+            late.select(F.col("_window.start").cast("date").alias("week"), by, "n").write.mode("overwrite").parquet(
+                f"{root}/late/batch={batch}"
+            )
+        finally:
+            counts.unpersist()
+
+    first = (
+        stamped.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/late_state")
+        .foreachBatch(note_late).start()
+    )
+    first.awaitTermination()
+    grouped = stamped.withWatermark("_ts", delay).groupBy(weeks.alias("_window"), by).agg(F.count("*").alias("n"))
+    closed = grouped.select(F.col("_window.start").cast("date").alias("week"), by, "n")
+    second = (
+        closed.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/closed_state")
+        .outputMode("append").format("parquet").option("path", f"{root}/closed").start()
+    )
+    second.awaitTermination()
+    return [json.loads(p.json) for p in second.recentProgress]
+
+
 def drain(
     stream: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str = "append", path: str | None = None
 ) -> DataFrame:
