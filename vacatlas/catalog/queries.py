@@ -16,7 +16,7 @@ from ..plans.process import process
 from ..session import stored, work_path
 from ..sources import postings as S, snapshots
 from ..streaming import ingest
-from .tables import STOP_WORDS, postings, table
+from .tables import STOP_WORDS, postings, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,7 +244,7 @@ def international(spark: SparkSession, folder: str) -> DataFrame:
 
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Total count, idf and total weight of every term of the vocabulary, over all documents."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"), "doc_id")
     weights = C.tfidf_weights(documents, "doc_id", "text", stop_words=STOP_WORDS)
     totals = weights.groupBy("term").agg(
         F.sum("n").alias("n"), F.max("idf").alias("idf"), F.sum("weight").alias("weight")
@@ -254,7 +254,7 @@ def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """The 5,000 most frequent terms of all documents, by summaries that overflow on larger tables, and an exact recount."""
-    return C.vocabulary(table(spark, folder, "documents"), "text", stop_words=STOP_WORDS, capacity=1 << 14)
+    return C.vocabulary(spread(table(spark, folder, "documents"), "doc_id"), "text", stop_words=STOP_WORDS, capacity=1 << 14)
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -307,7 +307,7 @@ def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def cluster_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Postings clustered by TF-IDF of their descriptions: sizes per label."""
-    found = C.cluster(_texts(spark, folder))
+    found = C.cluster(stored(_texts(spark, folder), "texts"))
     return found.groupBy("cluster_id", "cluster_label").agg(F.count("*").alias("n"))
 
 
