@@ -11,6 +11,7 @@ CHECKED = [
     "dedup_postings", "clean_postings", "clean_pages", "states", "yoe", "salary_annual", "skills_long", "summaries",
     "title_words", "filters_combined", "search_text", "min_support", "kpis", "region_stats", "cluster_summary",
     "box_stats_cluster", "salary_histogram", "crosstab_long", "skill_gaps", "tfidf_weights", "silhouette", "weekly_events",
+    "silhouette_euclidean", "kmeans_embeddings", "choose_k", "vocabulary", "region_stats_sketched",
 ]
 
 
@@ -32,7 +33,7 @@ def test_cluster_postings_takes_the_starts_of_the_operator(spark, monkeypatch):
     class Tried(Exception):
         pass
 
-    def chosen(points, key, min_k, max_k, seed, starts):
+    def chosen(points, key, min_k, max_k, seed, starts, **_):
         raise Tried(min_k, max_k, starts)
 
     monkeypatch.setattr(C, "choose_k", chosen)

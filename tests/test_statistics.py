@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacatlas.functions.quantiles import quantiles
-from vacatlas.operators import advice, aggregates as A
+from vacatlas.operators import advice, aggregates as A, sketches
 from vacatlas.operators.facts import facts, kept_facts
 from vacatlas.plans import report
 
@@ -157,3 +157,69 @@ def test_report(market, spark, tmp_path):
     written = report.write_report(market, str(tmp_path), "2024-01-07")
     assert set(written) == set(report.TABLES)
     assert spark.read.parquet(written["suggestions"]).count() == 16
+
+
+def rank_of(values, value):
+    """Least and greatest share of the values that lie below, or at, a value."""
+    values = np.sort(values)
+    return np.searchsorted(values, value, "left") / len(values), np.searchsorted(values, value, "right") / len(values)
+
+
+def near(values, value, p, error=sketches.RANK_ERROR):
+    low, high = rank_of(values, value)
+    return low - error <= p <= high + error
+
+
+def test_sketched_statistics_stay_within_their_errors(market, frame):
+    row = A.kpis(market, exact=False).first()
+    assert (row.postings, row.regions) == (4000, 4)
+    assert abs(row.companies - 60) <= 60 * sketches.DISTINCT_ERROR + 1 and row.categories == 5
+    assert near(frame.salary_max_annual.dropna(), row.median_salary, 0.5)
+    assert near(frame.yoe_min.dropna().astype(float), row.median_yoe, 0.5)
+    stats = A.salary_stats(market, exact=False).first()
+    assert stats.mean == pytest.approx(frame.salary_max_annual.mean())
+    for name, p in {"p25": 0.25, "median": 0.5, "p75": 0.75}.items():
+        assert near(frame.salary_max_annual.dropna(), stats[name], p)
+    for region in A.region_stats(market, exact=False).collect():
+        own = frame[frame.region == region.region]
+        assert region.jobs == len(own) and near(own.salary_max_annual.dropna(), region.median_salary, 0.5)
+
+
+def test_sketches_of_many_values(spark):
+    df = spark.range(300_000).select(
+        F.lit("LA Area").alias("region"), F.concat(F.lit("C"), F.col("id") % 50_000).alias("company"),
+        (F.pmod(F.xxhash64("id"), F.lit(10_000_019)) * 1.0).alias("salary_max_annual"),
+    ).repartition(6)
+    values = np.array([r[0] for r in df.select("salary_max_annual").collect()])
+    row = A.salary_stats(df, exact=False).first()
+    assert all(near(values, row[n], p) for n, p in {"p25": 0.25, "median": 0.5, "p75": 0.75}.items())
+    found = A.kpis(df, exact=False).first()
+    assert abs(found.companies - 50_000) < 50_000 * sketches.DISTINCT_ERROR
+    assert found.median_yoe is None and found.categories == 0
+    assert len(sketches.market_sketches(df).first().salaries) < 40_000
+
+
+def test_stored_weeks_merge_without_their_postings(market, frame, spark, tmp_path):
+    root = str(tmp_path)
+    days = ["2024-01-07", "2024-01-14", "2024-01-21"]
+    for i, day in enumerate(days):
+        sketches.write_sketches(market.where(F.pmod(F.xxhash64("salary_min_annual"), F.lit(3)) == i), root, day)
+    stored = sketches.read_sketches(spark, root)
+    assert set(stored.columns) == set(sketches.COLUMNS) and "FileScan" in plan_of(stored)
+    row = A.kpis(stored, exact=False).first()
+    assert row.postings == 4000 and row.regions == 4 and near(frame.salary_max_annual.dropna(), row.median_salary, 0.5)
+    assert A.salary_stats(stored, exact=False).first().mean == pytest.approx(frame.salary_max_annual.mean())
+    part = A.kpis(sketches.read_sketches(spark, root, since=days[1]), exact=False).first()
+    assert 0 < part.postings < 4000
+    with pytest.raises(FileNotFoundError):
+        sketches.read_sketches(spark, root, since="2025-01-01")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sketches_of_nothing(market):
+    row = A.kpis(market.limit(0), exact=False).first()
+    assert (row.postings, row.companies, row.median_salary) == (0, 0, None)
+    assert A.region_stats(market.limit(0), exact=False).count() == 0

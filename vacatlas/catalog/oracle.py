@@ -332,6 +332,9 @@ def oracles() -> dict[str, str]:
         "region_stats": _with("processed", f"""SELECT region, count(*) AS jobs, count(DISTINCT company) AS companies,
             {_r(_median('salary_max_annual'), 'median_salary')}, {_r(_median('yoe_min'), 'median_yoe')}
             FROM processed GROUP BY region"""),
+        "region_stats_sketched": _with("processed", """SELECT region, count(*) AS jobs, count(DISTINCT company) AS companies,
+            quantile_disc(salary_max_annual, 0.5) AS median_salary, quantile_disc(yoe_min::DOUBLE, 0.5) AS median_yoe
+            FROM processed GROUP BY region"""),
         "region_report": _with("processed", f"""SELECT region, count(*) AS jobs, {_r('avg(salary_max_annual)', 'avg_salary')},
             {_r('avg(yoe_min)', 'avg_yoe')} FROM processed WHERE region <> 'Other' GROUP BY region
             ORDER BY jobs DESC, region LIMIT 10"""),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..dictionaries import CITY_COORDINATES
-from ..operators import advice, aggregates as A, clustering as C, enrich as E, filters as B, gazetteer
+from ..operators import advice, aggregates as A, clustering as C, enrich as E, filters as B, gazetteer, sketches
 from ..operators.dedup import dedup
 from ..operators.facts import kept_facts, skill_rows, with_scores
 from ..plans import report
@@ -217,6 +217,13 @@ def filters_combined(spark: SparkSession, folder: str) -> DataFrame:
     return B.project_existing(chosen, _EXPLORED)
 
 
+def region_stats_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Region statistics merged from the sketches of monthly snapshots, taken in one pass over the postings."""
+    months = processed(spark, folder).withColumn("month", F.trunc("date_posted", "month"))
+    monthly = stored(sketches.market_sketches(months, "month", quantile_size=1 << 15), "monthly-sketches")
+    return A.region_stats(monthly, exact=False)
+
+
 def filter_domain(spark: SparkSession, folder: str) -> DataFrame:
     domain = B.filter_domain(labelled(spark, folder))
     lists = {name: F.array_join(name, "|") for name in ("regions", "categories")}
@@ -441,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "state_counts": _on(processed, A.state_counts),
     "region_counts": _on(processed, A.region_counts),
     "region_stats": _on(processed, A.region_stats, "median_salary", "median_yoe"),
+    "region_stats_sketched": region_stats_sketched,
     "region_report": _on(processed, A.region_report, "avg_salary", "avg_yoe"),
     "cluster_summary": _on(
         _facts_of("category", "floor_category", "salary_category", "years_category"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..dictionaries import INTERNATIONAL_REGIONS, OTHER_REGION
 from ..functions import text as X
 from ..functions.quantiles import quantiles
+from . import sketches
 from .facts import facts
 
 MEDIAN = {"median": 0.5}
@@ -68,8 +69,13 @@ def top(df: DataFrame, name: str, k: int, count: str = "n") -> DataFrame:
 
 # -- headline numbers -------------------------------------------------------
 
-def kpis(df: DataFrame) -> DataFrame:
-    """One row: postings, distinct companies, regions and categories, median salary and years."""
+def kpis(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row: postings, distinct companies, regions and categories, median salary and years.
+
+    Not ``exact``: from sketches, of postings or stored ones; see ``sketches`` for their errors.
+    """
+    if not exact:
+        return sketches.kpis(df)
     table = facts(df, "company", "category", "salary_region", "years_region")
     counts = table.where(F.col("fact").isin("company", "category")).agg(
         _sum_if(_is("company")).alias("postings"),
@@ -119,8 +125,10 @@ def region_counts(df: DataFrame) -> DataFrame:
 
 # -- regions ----------------------------------------------------------------
 
-def region_stats(df: DataFrame) -> DataFrame:
-    """Per region, "Other" included: postings, distinct companies, median salary and years."""
+def region_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Per region, "Other" included: postings, distinct companies, median salary and years; or from sketches."""
+    if not exact:
+        return sketches.region_stats(df)
     table = facts(df, "company", "salary_region", "years_region").where(F.col("key").isNotNull())
     counts = table.where(_is("company")).groupBy("key").agg(
         F.sum("n").alias("jobs"), F.count("item").alias("companies")
@@ -234,7 +242,10 @@ def _region_category(df: DataFrame, with_other: bool) -> DataFrame:
 
 # -- salaries ---------------------------------------------------------------
 
-def salary_stats(df: DataFrame) -> DataFrame:
+def salary_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Quartiles and mean of the salaries; the quartiles from sketches if not ``exact``."""
+    if not exact:
+        return sketches.salary_stats(df)
     values = _values(df, "salary_region")
     points = quantiles(values, [], "x", "n", {"p25": 0.25, "median": 0.5, "p75": 0.75})
     mean = values.agg(F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("mean"))
