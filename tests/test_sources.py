@@ -83,3 +83,58 @@ def test_csv_round_trip(spark, tmp_path):
     text = "a\nb\r\n\\n c\\\\ \"d\", e"
     S.export_csv(spark.createDataFrame([("1", text), ("2", None)], "site string, description string"), path)
     assert {r.site: r.description for r in S.load_typed(spark, path).collect()} == {"1": text, "2": None}
+
+
+def failing(spark, rows):
+    """Rows of which the last cannot be computed."""
+    return spark.range(rows, numPartitions=4).select(
+        F.col("id").alias("posting_id"), F.when(F.col("id") == rows - 1, F.raise_error(F.lit("broken row"))).alias("title")
+    )
+
+
+def test_a_failed_rerun_leaves_the_snapshot(spark, tmp_path):
+    root = str(tmp_path)
+    first = spark.range(5).select(F.col("id").alias("posting_id"))
+    path = snapshots.write_snapshot(first, root, "jobs", "2024-01-07")
+    with pytest.raises(Exception, match="broken row"):
+        snapshots.write_snapshot(failing(spark, 40), root, "jobs", "2024-01-07")
+    assert snapshots.read_latest(spark, root, "jobs").count() == 5 and snapshots.replaced_versions(spark, root, "jobs") == []
+    reader = snapshots.read_latest(spark, root, "jobs")
+    second = snapshots.write_snapshot(first.limit(2), root, "jobs", "2024-01-07")
+    assert second != path and snapshots.read_latest(spark, root, "jobs").count() == 2
+    assert reader.count() == 5  # those who read the old version go on
+    assert snapshots.replaced_versions(spark, root, "jobs") == [path]
+    with pytest.raises(Exception, match="broken row"):  # a first run of a date that fails leaves no snapshot of it
+        snapshots.write_snapshot(failing(spark, 40), root, "jobs", "2024-01-14")
+    assert snapshots.run_dates(spark, root, "jobs") == ["2024-01-07"]
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_latest(spark, root, "jobs", "2024-01-14")
+
+
+def test_damaged_files_are_quarantined(spark, tmp_path):
+    source, quarantine = tmp_path / "in", str(tmp_path / "quarantine")
+    for i in range(4):
+        df = spark.range(i * 100, i * 100 + 100).select(F.col("id").alias("posting_id"), F.concat(F.lit("t"), F.col("id")).alias("title"))
+        (df if i else df.withColumn("extra", F.lit(1))).coalesce(1).write.mode("append").parquet(str(source))
+    files = sorted(source.glob("*.parquet"), key=lambda f: spark.read.parquet(str(f)).first().posting_id)
+    files[1].write_bytes(files[1].read_bytes()[:200])  # cut short
+    content = bytearray(files[2].read_bytes())
+    content[30:200] = bytes(170)  # its footer is whole, its pages are not
+    files[2].write_bytes(bytes(content))
+    for crc in source.glob(".*.crc"):
+        crc.unlink()
+    rows = S.read_batches(spark, str(source), quarantine=quarantine)
+    assert sorted(r.posting_id for r in rows.collect()) == [*range(100), *range(300, 400)] and "extra" in rows.columns
+    noted = spark.read.parquet(quarantine).collect()
+    assert {r.file.rpartition("/")[2] for r in noted} == {files[1].name, files[2].name} and all(r.error for r in noted)
+    with pytest.raises(Exception):
+        S.read_batches(spark, str(source)).collect()
+
+
+def test_batches_that_fail_when_read_are_skipped_eagerly(spark):
+    good = spark.createDataFrame([(1, "x")], "posting_id bigint, title string")
+    skipped = []
+    rows = S.union_batches([(good, "DS", "NY"), (failing(spark, 8), "DS", "LA")], skipped=skipped, eager=True)
+    assert rows.count() == 1 and [x[:2] for x in skipped] == [("DS", "LA")]
+    with pytest.raises(Exception, match="broken row"):
+        S.union_batches([(failing(spark, 8), "DS", "LA")], eager=True)

@@ -223,3 +223,15 @@ def test_sketches_of_nothing(market):
     row = A.kpis(market.limit(0), exact=False).first()
     assert (row.postings, row.companies, row.median_salary) == (0, 0, None)
     assert A.region_stats(market.limit(0), exact=False).count() == 0
+
+
+@pytest.mark.parametrize(("values", "bins", "step", "first", "number"), [
+    ([100.0, 250.0, 999.0], 30, 50.0, 100.0, 18), ([0.0, 10.0], 10, 2.0, 0.0, 6), ([-7.0, 12.0], 20, 1.0, -7.0, 20),
+    ([5.0, 5.0], 30, 1.0, 5.0, 1), ([0.1, 0.35], 4, 0.1, 0.1, 3), ([3.0], 5, 1.0, 3.0, 1),
+])
+def test_readable_edges(spark, values, bins, step, first, number):
+    df = spark.createDataFrame([("r", v) for v in values] + [("r", None)], "region string, salary_max_annual double")
+    rows = A.readable_histogram(df, bins=bins).orderBy("bin").collect()
+    assert len(rows) == number <= bins and sum(r.n for r in rows) == len(values)
+    assert rows[0].low == pytest.approx(first) and all(r.high - r.low == pytest.approx(step) for r in rows)
+    assert A.readable_histogram(df.limit(0), bins=bins).count() == 0

@@ -185,6 +185,18 @@ def _histogram(value: str, bins: int) -> str:
         s="SELECT min(x) AS lo, max(x) AS hi FROM v")
 
 
+def _readable(value: str, bins: int) -> str:
+    return _with("processed", f"""SELECT bin, {_r('(first + bin) * step', 'low')}, {_r('(first + bin + 1) * step', 'high')}, count(x) AS n
+        FROM (SELECT unnest(range(0, (last - first + 1)::BIGINT)) AS bin, step, first FROM s)
+        LEFT JOIN (SELECT x, floor(x / step) - first AS b FROM v, s) ON b = bin GROUP BY bin, first, step""",
+        v=f"SELECT {value}::DOUBLE AS x FROM processed WHERE {value} IS NOT NULL",
+        e="SELECT min(x) AS lo, max(x) AS hi FROM v",
+        t=f"""SELECT lo, hi, unnest([1.0::DOUBLE, 2, 5, 10, 20]) * pow(10.0::DOUBLE, floor(log10((hi - lo) / {bins}))) AS step FROM e
+          WHERE hi > lo UNION ALL SELECT lo, hi, 1 FROM e WHERE hi = lo""",
+        s=f"""SELECT min(step) AS step, floor(any_value(lo) / min(step)) AS first, floor(any_value(hi) / min(step)) AS last FROM t
+          WHERE floor(hi / step) - floor(lo / step) < {bins}""")
+
+
 def _terms(stop_words) -> str:
     return rf"""WITH words AS (
         SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[{WORD}]{{2,}}'), lambda w: w NOT IN {_in(stop_words)}) AS w
@@ -364,6 +376,8 @@ def oracles() -> dict[str, str]:
             v="SELECT least(greatest(yoe_min, 0), 20) AS x FROM processed WHERE yoe_min IS NOT NULL"),
         "salary_histogram": _histogram("salary_max_annual", 30),
         "years_histogram": _histogram("yoe_min", 20),
+        "salary_histogram_readable": _readable("salary_max_annual", 30),
+        "years_histogram_readable": _readable("yoe_min", 20),
         "box_stats_region_all": _box("processed", "region", "salary_max_annual"),
         "exclude_other": _with("processed", "SELECT posting_id, region FROM processed WHERE region IS DISTINCT FROM 'Other'"),
         "yoe_kpis": _with("processed", f"""SELECT {_r(_median('yoe_min'), 'median')},
@@ -441,6 +455,11 @@ def oracles() -> dict[str, str]:
                 min(total / n) FILTER (label <> other) AS b FROM d GROUP BY ALL)
             SELECT vec_id, label, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 6) AS width FROM ab""",
         "vocabulary": _terms(STOP_WORDS) + " SELECT term, count(*) AS n FROM terms GROUP BY term ORDER BY n DESC, term LIMIT 5000",
+        "keyword_dictionary": """WITH l AS (SELECT lower(text) AS l FROM documents WHERE text IS NOT NULL),
+            w AS (SELECT w FROM (SELECT unnest(regexp_extract_all(l, '[a-z]+')) AS w FROM l) WHERE length(w) > 3
+              GROUP BY w ORDER BY count(*) DESC, w LIMIT 2000)
+            SELECT w AS word, count(*) AS documents, sum((length(l) - length(replace(l, w, ''))) // length(w))::BIGINT AS n
+            FROM w JOIN l ON contains(l, w) GROUP BY w""",
         "cluster_labels": _with("labels", """SELECT cluster_id, cluster_label, count(*) AS n
             FROM lowered JOIN labels USING (cluster_id) GROUP BY ALL"""),
         "stream_ingest": _with("raw_enriched", "SELECT posting_id, region, state, yoe_min, salary_max_annual FROM raw_enriched"),

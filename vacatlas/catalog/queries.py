@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..dictionaries import CITY_COORDINATES
 from ..operators import advice, aggregates as A, clustering as C, enrich as E, filters as B, gazetteer, sketches
 from ..operators.dedup import dedup
+from ..operators.dictionary import keyword_hits
 from ..operators.facts import kept_facts, skill_rows, with_scores
+from ..operators.vocabulary import most_frequent
 from ..plans import report
 from ..plans.process import process
 from ..session import stored, work_path
@@ -264,6 +266,15 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return C.vocabulary(spread(table(spark, folder, "documents"), "doc_id"), "text", stop_words=STOP_WORDS, capacity=1 << 14)
 
 
+def keyword_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts and occurrences of each keyword of a large dictionary, the most frequent long words of the documents."""
+    documents = spread(table(spark, folder, "documents"), "doc_id")
+    longer = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3)
+    words = [r["term"] for r in most_frequent(documents.select(longer.alias("w")), "w", 2000).collect()]
+    hits = keyword_hits(documents.select("doc_id", "text"), "text", words).select(F.explode("hits").alias("hit"))
+    return hits.groupBy(F.col("hit.word").alias("word")).agg(F.count("*").alias("documents"), F.sum("hit.n").alias("n"))
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return C.embed_column(table(spark, folder, "embeddings").where("embedding IS NOT NULL"), "embedding")
 
@@ -433,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "summaries": summaries,
     "responsibilities": responsibilities,
     "title_words": title_words,
+    "keyword_dictionary": keyword_dictionary,
     # filters
     "filters_combined": filters_combined,
     "filter_domain": filter_domain,
@@ -469,6 +481,8 @@ QUERIES: dict[str, Query] = {
     "yoe_histogram": _on(processed, A.yoe_histogram, "median"),
     "salary_histogram": _on(processed, A.histogram, "low", "high"),
     "years_histogram": _on(processed, A.histogram, "low", "high", fact="years_region", bins=20),
+    "salary_histogram_readable": _on(processed, A.readable_histogram, "low", "high"),
+    "years_histogram_readable": _on(processed, A.readable_histogram, "low", "high", fact="years_region", bins=20),
     "yoe_kpis": _on(processed, A.yoe_kpis, "median", "entry_pct"),
     "yoe_bands": _on(processed, A.yoe_bands, "median", "entry_pct"),
     "crosstab_wide": _on(

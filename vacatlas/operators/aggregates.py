@@ -318,6 +318,42 @@ def histogram(df: DataFrame, fact: str = "salary_region", bins: int = 30) -> Dat
     )
 
 
+def readable_histogram(df: DataFrame, fact: str = "salary_region", bins: int = 30) -> DataFrame:
+    """Bins whose edges are multiples of a step of 1, 2 or 5 times a power of ten: (bin, low, high, n).
+
+    The step is the least that needs at most ``bins`` bins from the one of the least value to that of the greatest, empty
+    ones included; equal values are one bin of width 1. All follows from the value counts.
+    """
+    values = _values(df, fact)
+    low, high = F.col("low"), F.col("high")
+    power = F.pow(F.lit(10.0), F.floor(F.log10((high - low) / bins)))
+    tried = F.array(*(power * step for step in (1.0, 2.0, 5.0, 10.0, 20.0)))
+    fits = F.filter(tried, lambda step: F.floor(high / step) - F.floor(low / step) < bins)
+    step = F.when(high > low, F.get(fits, F.lit(0))).otherwise(F.lit(1.0))
+    span = (
+        values.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        .select(step.alias("step"), F.floor(low / step).alias("first"), F.floor(high / step).alias("last"))
+        .select(F.struct("step", "first", "last")).scalar()
+    )
+    empty = values.sparkSession.range(bins).select(
+        F.lit(None).cast("double").alias("x"), F.lit(0).cast("bigint").alias("n"), F.col("id").alias("bin")
+    )
+    place = F.coalesce("bin", F.floor(F.col("x") / F.col("span.step")) - F.col("span.first"))
+    return (
+        values.withColumn("bin", F.lit(None).cast("bigint")).unionByName(empty)
+        .withColumn("span", span)
+        .where(F.col("span.first").isNotNull())
+        .groupBy(place.alias("bin"), "span").agg(F.sum("n").alias("n"))
+        .where(F.col("bin") <= F.col("span.last") - F.col("span.first"))
+        .select(
+            "bin",
+            ((F.col("span.first") + F.col("bin")) * F.col("span.step")).alias("low"),
+            ((F.col("span.first") + F.col("bin") + 1) * F.col("span.step")).alias("high"),
+            "n",
+        )
+    )
+
+
 # -- experience -------------------------------------------------------------
 
 def yoe_histogram(df: DataFrame) -> DataFrame:

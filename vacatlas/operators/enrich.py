@@ -10,6 +10,7 @@ from ..dictionaries import (
     CITY_COORDINATES, CITY_STATES, HOME_COUNTRY, IMPORTANT_WORDS, OTHER_REGION, REGIONS, SEARCH_COUNTRIES, SKILLS,
 )
 from ..functions import matching, patterns as P, skills as K, text as X
+from .dictionary import MOST_PLAIN, extract_many
 
 UNKNOWN_COMPANY = "Unknown"
 
@@ -74,7 +75,12 @@ def normalize_salaries(df: DataFrame) -> DataFrame:
 def extract_skills(
     df: DataFrame, skills: Mapping[str, Sequence[str]] = SKILLS, word_boundary: bool = False
 ) -> DataFrame:
-    """``key_skills``: category to the keywords found in the description."""
+    """``key_skills``: category to the keywords found in the description.
+
+    A dictionary of more than ``MOST_PLAIN`` keywords is matched by one automaton instead of one search for each.
+    """
+    if sum(map(len, skills.values())) > MOST_PLAIN:
+        return extract_many(df, skills, word_boundary)
     found = {category: f"_skills{i}" for i, category in enumerate(skills)}
     return (
         df.withColumn("_lowered", F.lower(F.coalesce("description", F.lit(""))))

@@ -49,6 +49,5 @@ def write_report(df: DataFrame, root: str, run_date: str) -> dict[str, str]:
     """Store the tables of the report under its date: the folder of each."""
     written = {}
     for name, table in report_tables(df).items():
-        write_snapshot(table, root, name, run_date)
-        written[name] = f"{root}/{name}/run_date={run_date}"
+        written[name] = write_snapshot(table, root, name, run_date)
     return written

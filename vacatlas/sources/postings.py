@@ -6,12 +6,14 @@ import logging
 from collections.abc import Callable, Iterable, Sequence
 from datetime import date, datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..dictionaries import SEARCH_LOCATIONS, SEARCH_TITLES
 from ..operators.enrich import is_home, search_country
 from ..schema import KEY_SKILLS, NUMERIC_COLUMNS, RAW_POSTING
+from ..session import stored
 
 log = logging.getLogger(__name__)
 
@@ -38,18 +40,22 @@ def empty_jobs(spark: SparkSession) -> DataFrame:
 
 def union_batches(
     batches: Iterable[tuple[DataFrame | Callable[[], DataFrame], str, str]], spark: SparkSession | None = None,
-    skipped: list[tuple[str, str, Exception]] | None = None,
+    skipped: list[tuple[str, str, Exception]] | None = None, eager: bool = False,
 ) -> DataFrame:
     """Batches of (rows or a loader of rows, search query, search location) as one table.
 
     Columns are united by name. A loader that fails raises, unless a list for ``skipped`` batches is given, which
-    then holds (query, location, error) of each. Without any batch the result is the empty posting table.
+    then holds (query, location, error) of each. With ``eager`` each batch is read and stored at once, so that one whose
+    rows cannot be read fails here too, and not when the result is used. Without any batch the result is the empty posting
+    table.
     """
     parts = []
     for batch, query, location in batches:
         try:
             rows = batch() if callable(batch) else batch
-        except (PySparkException, OSError) as error:
+            if eager:
+                rows = stored(rows, "batch")
+        except (PySparkException, Py4JJavaError, OSError) as error:
             if skipped is None:
                 raise
             log.warning("skipping %r in %r: %s", query, location, error)
@@ -64,9 +70,52 @@ def union_batches(
     return union
 
 
-def read_batches(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
-    """A folder of collected Parquet batches; an unreadable file raises, or is skipped where the caller asks for it."""
-    return spark.read.option("ignoreCorruptFiles", skip_corrupt).option("mergeSchema", "true").parquet(path)
+def damaged_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, error) of each Parquet file of a folder, the error null where all of it can be decoded.
+
+    Files are decoded in the tasks, a group of rows at a time, and nothing of them is kept.
+    """
+
+    def decode(batches):
+        import io
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                error = None
+                try:
+                    file = pq.ParquetFile(io.BytesIO(content.as_buffer()))
+                    for group in range(file.num_row_groups):
+                        file.read_row_group(group)
+                except (pa.ArrowException, OSError, ValueError) as problem:
+                    error = f"{type(problem).__name__}: {problem}"[:500]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([error], pa.string())], ["file", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select("path", "content").mapInArrow(decode, "file string, error string")
+
+
+def read_batches(
+    spark: SparkSession, path: str, skip_corrupt: bool = False, quarantine: str | None = None
+) -> DataFrame:
+    """A folder of collected Parquet batches.
+
+    An unreadable file raises, or is skipped where the caller asks for it. With ``quarantine``, a folder, each file is
+    decoded first: a damaged one leaves a row (file, error) there, and none of its rows is taken; all others load. The
+    names of the files pass through the driver, as they do for any read.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", skip_corrupt).option("mergeSchema", "true")
+    if quarantine is None:
+        return reader.parquet(path)
+    checked = stored(damaged_files(spark, path), "checked-files")
+    bad = checked.where("error IS NOT NULL")
+    bad.coalesce(1).write.mode("append").parquet(quarantine)
+    for row in bad.limit(20).collect():
+        log.warning("quarantined %s: %s", row["file"], row["error"])
+    good = [row["file"] for row in checked.where("error IS NULL").select("file").collect()]
+    return reader.option("basePath", path).parquet(*good) if good else empty_jobs(spark)
 
 
 def search_grid(
