@@ -1,8 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from vacatlas.operators.dedup import dedup
 from vacatlas.plans.process import process
-from vacatlas.streaming import ingest
+from vacatlas.streaming import ingest, keystore
 
 SCHEMA = (
     "posting_id bigint, title string, company string, location string, description string, "
@@ -103,3 +104,49 @@ def test_weeks_close_and_late_rows_count_apart(spark, tmp_path):
     before = stored("closed"), stored("late")
     ingest.run_weekly(lambda: ingest.posting_stream(spark, source), root, "title")  # nothing new
     assert (stored("closed"), stored("late")) == before
+
+
+def test_a_batch_reads_only_files_that_may_hold_its_keys(spark, tmp_path):
+    store = keystore.KeyStore(spark, str(tmp_path / "keys"))
+    assert store.known(spark.createDataFrame([("a",)], "key string"), 0).count() == 0
+    for batch in range(6):
+        store.add(spark.range(batch * 3000, batch * 3000 + 3000).select(F.concat(F.lit("k"), F.col("id")).alias("key")), batch)
+    assert len({(r.batch, r.bucket) for r in store.keys().select("batch", "bucket").distinct().collect()}) == 6 * keystore.BUCKETS
+    asked = spark.createDataFrame([("k3007",), ("k17999",), ("new",), (None,)], "key string")
+    known = store.known(asked, 9)
+    found = {r.key for r in known.collect()}
+    assert {"k3007", "k17999"} <= found and len(found) < 4 * 90  # of 18,000 keys, about 47 in a file
+    assert len(store.files_for(asked, 9)) <= 4
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "concat_ws" in plan
+    many = spark.range(100_000, 100_500).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    assert len(store.files_for(many, 9)) < 0.25 * 6 * keystore.BUCKETS  # all of them are new
+    assert store.files_for(asked, 1) == [f for f in store.files_for(asked, 9) if not f.startswith("1/")]
+    store.add(spark.createDataFrame([("k3007",)], "key string"), 1)  # a batch written again replaces itself
+    assert store.keys().where("batch = 1").count() == 1
+
+
+def test_filters_never_lose_a_key():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 5000):
+        own = rng.integers(-(1 << 63), (1 << 63) - 1, n)
+        bloom = keystore.bloom_filter(own)
+        assert all(keystore.may_hold(bloom, own[i:i + 1]) for i in range(n))
+        others = rng.integers(-(1 << 63), (1 << 63) - 1, 2000)
+        assert sum(keystore.may_hold(bloom, others[i:i + 1]) for i in range(2000)) < 2000 * 0.03
+
+
+def test_refresh_of_a_long_history_reads_few_files(spark, tmp_path, monkeypatch):
+    source, root, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    read = []
+    files_for = keystore.KeyStore.files_for
+    monkeypatch.setattr(keystore.KeyStore, "files_for", lambda self, *a: read.append(files_for(self, *a)) or read[-1])
+    for run in range(4):
+        lines = [(run * 100 + i, f"title {run} {i}", f"u{run}-{i}", "2024-01-01") for i in range(60)]
+        lines += [(run * 100 + 90, "title 0 1", "u0-1", "2024-01-01")] if run else []
+        rows(spark, lines).coalesce(1).write.mode("append").parquet(source)
+        ingest.refresh_snapshot(ingest.posting_stream(spark, source), root, "processed_jobs", checkpoint=state)
+    stored = spark.read.parquet(f"{root}/processed_jobs")
+    assert sorted(r.posting_id for r in stored.collect()) == [run * 100 + i for run in range(4) for i in range(60)]
+    files = spark.read.parquet(f"{root}/processed_jobs_keys/keys").select("batch", "bucket").distinct().count()
+    assert 1 <= len(read[-2]) < 0.2 * files  # the one repeated key, and what filters hold by chance

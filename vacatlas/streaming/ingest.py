@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 from ..operators.dedup import KEY
 from ..operators.enrich import extract_skills
 from ..plans.process import enrich_rows
-from ..session import work_path
+from ..session import stored, work_path
+from .keystore import KeyStore
 
 #: How long a posting counts as recent; also how late one may arrive.
 HORIZON = "168 hours"
@@ -144,40 +145,30 @@ def refresh_snapshot(
 ) -> None:
     """Add the new postings of a stream to a stored stage, without duplicates of stored ones.
 
-    Each batch writes its own partition of the stage and of a narrow table of
-    keys, replacing it if the batch is run again. A batch is first collapsed to
-    one row per key and per url, then compared with the stored keys, so that
-    neither side of the comparison has a hot value. The result is that of
-    deduplicating all batches together. Progress is kept beside the stage, so
-    that another call goes on where the last one ended.
+    Each batch writes its own partition of the stage and of two stores of keys, those seen and the urls kept, replacing
+    it if the batch is run again. A batch is first collapsed to one row per key and per url, then compared with the files
+    of the stores that may hold one of its keys (see ``keystore``), so that neither side of the comparison has a hot value
+    and a long history is not read. The result is that of deduplicating all batches together. Progress is kept beside the
+    stage, so that another call goes on where the last one ended.
     """
-    spark = stream.sparkSession
-    rows_path, keys_path = f"{root}/{stage}", f"{root}/{stage}_keys"
-    keys_schema = f"key string, url string, kept boolean, {order} {dict(stream.dtypes)[order]}, batch bigint"
-
-    def write(df: DataFrame, path: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")  # a rerun batch of no rows replaces rows
+    rows_path = f"{root}/{stage}"
+    url_kind = dict(stream.dtypes)["url"]
 
     def refresh(rows: DataFrame, batch: int) -> None:
         session = rows.sparkSession
-        try:
-            stored = session.read.schema(keys_schema).parquet(keys_path).where(F.col("batch") != batch)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = session.createDataFrame([], keys_schema)
+        seen = KeyStore(session, f"{root}/{stage}_keys")
+        urls = KeyStore(session, f"{root}/{stage}_urls", url_kind)
         keyed = rows.select(order, posting_key(rows).alias("key"), "url")
         first = keyed.groupBy("key").agg(F.min(order).alias(order), F.min_by("url", order).alias("url"))
-        new = first.join(stored.select("key"), "key", "left_anti")
-        by_url = new.groupBy("url").agg(F.min(order).alias(order))
-        old_urls = stored.where("kept").select(F.col("url").alias("old_url"))
-        kept = by_url.join(old_urls, F.col("url").eqNullSafe(F.col("old_url")), "left_anti")
-        flags = kept.select(order, F.lit(True).alias("kept"))
-        keys = new.join(flags, order, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-        write(keys.select("key", "url", "kept", order), keys_path, batch)
-        written = session.read.schema(keys_schema).parquet(keys_path)
-        chosen = written.where(F.col("kept") & (F.col("batch") == batch)).select(order)
-        write(enrich_rows(rows.join(chosen, order, "left_semi")), rows_path, batch)
+        new = stored(first.join(seen.known(first, batch), "key", "left_anti"), "new-keys")
+        by_url = new.groupBy(F.col("url").alias("key")).agg(F.min(order).alias(order))
+        old = urls.known(by_url, batch).withColumnRenamed("key", "old_url")
+        kept = stored(by_url.join(old, F.col("key").eqNullSafe(F.col("old_url")), "left_anti"), "kept-urls")
+        enrich_rows(rows.join(kept.select(order), order, "left_semi")).write.mode("overwrite").parquet(
+            f"{rows_path}/batch={batch}"
+        )
+        seen.add(new, batch)
+        urls.add(kept, batch)
 
     query = (
         stream.writeStream.trigger(availableNow=True)
