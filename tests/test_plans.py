@@ -3,7 +3,7 @@
 import re
 
 from vacatlas.catalog.queries import QUERIES, grouped, processed
-from vacatlas.catalog.tables import postings
+from vacatlas.catalog.tables import filled, postings, spread, table
 from vacatlas.operators import aggregates as A, clustering as C, enrich as E
 from vacatlas.operators.dedup import dedup
 from vacatlas.plans.process import describe, process
@@ -58,3 +58,23 @@ def test_extraction_stays_in_generated_code(spark):
     final = plan(df).split("Initial Plan")[0]
     extraction = [line for line in final.splitlines() if "Project [" in line and "contains" in line.lower()]
     assert extraction and all(re.match(r"[ :+-]*\*\(", line) for line in extraction)
+
+
+def test_filters_do_not_copy_expressions_below_the_stages(spark):
+    """A filter on years, region or pay reads stored columns: no pattern runs again, and nothing fails to compile."""
+    for name in ("filters_combined", "filter_domain", "international"):
+        text = plan(QUERIES[name](spark, SMALL))
+        assert "regexp_extract_all" not in text and "FileScan parquet" in text, name
+    for name in ("search_text", "min_support", "exclude_other"):
+        text = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("regexp_extract_all") <= 1, name
+
+
+def test_postings_fill_all_cores(spark):
+    """The documents of one row group are dealt before they are multiplied; tables that fill the cores stay as they are."""
+    cores = spark.sparkContext.defaultParallelism
+    assert filled(table(spark, SMALL, "documents")) == 1
+    assert filled(postings(spark, SMALL)) >= cores - 1
+    wide = spark.range(1000, numPartitions=cores)
+    assert spread(wide, "id") is wide
+

@@ -8,6 +8,7 @@ from vacatlas.functions import text as X
 from vacatlas.operators import clustering as C, enrich as E, gazetteer
 from vacatlas.operators.dedup import dedup
 from vacatlas.dictionaries import CITY_COORDINATES
+from vacatlas.plans.process import describe
 
 
 def postings(spark, rows):
@@ -141,6 +142,12 @@ def test_responsibilities_against_brute_force(one):
     assert found == [items(t) for t in texts]
 
 
+def test_descriptions_keep_the_first_ten_items(spark):
+    text = "".join(f"- item number {i} of the long list of duties\n" for i in range(14))
+    df = spark.createDataFrame([(1, text)], "posting_id int, description string")
+    assert len(describe(df).first().responsibilities) == 10 and len(describe(df, None).first().responsibilities) == 14
+
+
 def test_title_words(spark):
     df = spark.createDataFrame(
         [(0, "Data Scientist"), (0, "Senior Data Scientist"), (0, "Data Scientist II"), (0, "A/B-test Lead"), (1, "VP"), (1, None)],

@@ -235,3 +235,19 @@ def test_readable_edges(spark, values, bins, step, first, number):
     assert len(rows) == number <= bins and sum(r.n for r in rows) == len(values)
     assert rows[0].low == pytest.approx(first) and all(r.high - r.low == pytest.approx(step) for r in rows)
     assert A.readable_histogram(df.limit(0), bins=bins).count() == 0
+
+
+def test_a_failing_part_of_the_report_is_skipped(market, spark, tmp_path, monkeypatch):
+    def broken(table):
+        raise ValueError("no such part")
+
+    def late(table):
+        return table.select(F.raise_error(F.lit("broken row")).alias("x"))
+
+    monkeypatch.setattr(report, "TABLES", {"kpis": A.kpis, "broken": broken, "late": late, "top_skills": A.top_skills})
+    with pytest.raises(ValueError, match="no such part"):
+        report.report_tables(market)
+    skipped = []
+    written = report.write_report(market, str(tmp_path), "2024-01-07", skipped)
+    assert set(written) == {"kpis", "top_skills"} and [name for name, _ in skipped] == ["broken", "late"]
+    assert spark.read.parquet(written["kpis"]).first().postings == 4000

@@ -1,8 +1,8 @@
 """The named queries in DuckDB's SQL, written apart from the Spark code.
 
 Only the dictionaries and the derivation of the postings are shared. Queries
-without an entry cannot be said in SQL: ``responsibilities`` needs look-ahead,
-clusters have arbitrary ids, and advice is text; tests check these.
+without an entry cannot be said in SQL: ``responsibilities`` needs look-ahead, and
+fitted clusters have arbitrary ids; tests check these.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from ..dictionaries import (
     SEARCH_LOCATIONS, SEARCH_TITLES, SKILLS, TITLE_STOP_WORDS,
 )
 from ..functions.patterns import SPACE_CHARS
+from ..operators.advice import GENERAL, ORDER, SENTENCES
+from ..plans.report import TABLES
 from .tables import POSTINGS_SQL, STOP_WORDS
 
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -137,7 +139,14 @@ _NEEDS = {
 }
 
 
-def _with(step: str, select: str, **extra: str) -> str:
+class _Query(str):
+    """SQL that remembers its steps, so that several queries can share them."""
+
+    steps: list[str]
+    own: str
+
+
+def _with(step: str, select: str, **extra: str) -> _Query:
     """``select`` with the steps up to ``step`` before it."""
     order: list[str] = []
 
@@ -148,9 +157,78 @@ def _with(step: str, select: str, **extra: str) -> str:
             order.append(name)
 
     add(step)
-    steps = [f"{name} AS MATERIALIZED ({_STEPS[name]})" for name in order]
-    steps += [f"{name} AS ({body})" for name, body in extra.items()]
-    return f"WITH {', '.join(steps)} {select}"
+    views = [f"{name} AS ({body})" for name, body in extra.items()]
+    query = _Query(f"WITH {', '.join([*map(_step, order), *views])} {select}")
+    query.steps, query.own = order, f"WITH {', '.join(views)} {select}" if views else select
+    return query
+
+
+def _step(name: str) -> str:
+    return f"{name} AS MATERIALIZED ({_STEPS[name]})"
+
+
+def _together(queries: dict[str, _Query], each: str) -> str:
+    """``each`` over several queries in a row, their steps taken once."""
+    order = list(dict.fromkeys(step for query in queries.values() for step in query.steps))
+    rows = " UNION ALL ".join(each.format(name=name, query=query.own) for name, query in queries.items())
+    return f"WITH {', '.join(map(_step, order))} {rows}"
+
+
+def _say(label: str, source: str, **values: str) -> str:
+    body = _q(SENTENCES[label])
+    for name, value in values.items():
+        body = f"replace({body}, '{{{name}}}', ({value})::VARCHAR)"
+    return f"SELECT {ORDER.index(label)}::INT AS position, {_q(label)} AS label, {body} AS body FROM {source}"
+
+
+def _suggestions() -> _Query:
+    usd = "'$' || format('{{:,.0f}}', {})".format
+    ranked = "(SELECT string_agg(skill, ', ' ORDER BY n DESC, skill) AS names FROM (SELECT skill, n FROM totals {} ORDER BY n DESC, skill LIMIT 5)) WHERE names IS NOT NULL"
+    paid = """(SELECT {0} AS name, quantile_cont(salary_max_annual, 0.5) AS m FROM labelled
+        WHERE salary_max_annual IS NOT NULL AND {1} GROUP BY ALL ORDER BY m DESC, name LIMIT 1)"""
+    parts = [
+        _say("TRENDING SKILLS", ranked.format(f"WHERE skill IN {_in(EMERGING_SKILLS)}"), skills="names"),
+        _say("MUST-HAVE SKILLS", ranked.format(""), skills="names"),
+        _say("CLOUD PLATFORM", "(SELECT skill FROM frequency WHERE category = 'cloud' ORDER BY n DESC, skill LIMIT 1)", skill="upper(skill)"),
+        _say("HOT CATEGORY", "c WHERE position = 1", category="cluster_label", pct="format('{:.1f}', pct)", n="n"),
+        _say(
+            "NICHE OPPORTUNITIES", """(SELECT string_agg(cluster_label, ', ' ORDER BY position) AS names FROM c
+            WHERE categories > 3 AND position > categories - 3) WHERE names IS NOT NULL""", categories="names",
+        ),
+        _say(
+            "SALARY BENCHMARKS", """(SELECT quantile_cont(salary_max_annual, 0.5) AS a, quantile_cont(salary_max_annual, 0.75) AS b,
+            quantile_cont(salary_max_annual, 0.9) AS c FROM labelled) WHERE a IS NOT NULL""", median=usd("a"), p75=usd("b"), p90=usd("c"),
+        ),
+        _say("HIGHEST PAYING", paid.format("cluster_label", "cluster_label IS NOT NULL"), category="name", median=usd("m")),
+        _say("TOP PAYING REGION", paid.format("region", "region <> 'Other'"), region="name", median=usd("m")),
+        _say("TOP HUB", "(SELECT region, count(*) AS n FROM labelled WHERE region <> 'Other' GROUP BY region ORDER BY n DESC, region LIMIT 1)", region="region", n="n"),
+        _say("INTERNATIONAL", "(SELECT count(*) AS n FROM labelled WHERE region IN ('Singapore', 'Hong Kong')) WHERE n > 0", n="n"),
+        _say(
+            "EXPERIENCE", "bands WHERE median IS NOT NULL", median="format('{:.0f}', median)", entry="entry", mid="mid", senior="senior",
+        ),
+        _say("ENTRY-LEVEL", "bands WHERE entry > 0", pct="format('{:.0f}', 100.0 * entry / (entry + mid + senior))"),
+        *(f"SELECT {ORDER.index(label)}::INT, {_q(label)}, {_q(SENTENCES[label])}" for label in GENERAL),
+    ]
+    query = _with(
+        "labelled", " UNION ALL ".join(parts),
+        c="""SELECT cluster_label, count(*) AS n, count(*) * 100.0 / (SELECT count(*) FROM labelled) AS pct,
+          row_number() OVER (ORDER BY count(*) DESC, cluster_label) AS position, count(*) OVER () AS categories
+          FROM labelled GROUP BY cluster_label""",
+        bands="""SELECT count(*) FILTER (yoe_min <= 2) AS entry, count(*) FILTER (yoe_min > 2 AND yoe_min <= 5) AS mid,
+          count(*) FILTER (yoe_min > 5) AS senior, quantile_cont(yoe_min::DOUBLE, 0.5) AS median FROM labelled""",
+    )
+    skills = _with("totals", "")
+    steps = list(dict.fromkeys([*query.steps, *skills.steps]))
+    whole = _Query(f"WITH {', '.join(map(_step, steps))} SELECT * FROM ({query.own})")
+    whole.steps, whole.own = steps, query.own
+    return whole
+
+
+#: Tables of the written report whose query has another name.
+_REPORT = {
+    "region_categories": "crosstab_long", "salary_by_region": "box_stats_region", "salary_by_category": "box_stats_cluster",
+    "yoe_by_category": "box_yoe_cluster", "skills_by_category": "top_skills_by_category",
+}
 
 
 def _r(expression: str, name: str) -> str:
@@ -161,7 +239,7 @@ def _median(column: str) -> str:
     return f"quantile_cont({column}::DOUBLE, 0.5)"
 
 
-def _box(step: str, key: str, value: str, where: str = "TRUE") -> str:
+def _box(step: str, key: str, value: str, where: str = "TRUE") -> _Query:
     return _with(
         step,
         f"""SELECT key, {_r('q1', 'q1')}, {_r('median', 'median')}, {_r('q3', 'q3')}, count(*) AS rows,
@@ -252,7 +330,7 @@ def oracles() -> dict[str, str]:
         f"coalesce(sum(n) FILTER (cluster_label = {_q(name)}), 0)::BIGINT AS \"{name}\""
         for name in ("LLM/GenAI", "Computer Vision", "Fraud Detection/Risk")
     )
-    return {
+    found = {
         "union_batches": _with("raw", """
             SELECT posting_id, site, 'Data Scientist' AS search_query, 'New York, NY' AS search_location,
               NULL::VARCHAR AS salary_min, salary_max FROM raw WHERE site = 'linkedin'
@@ -478,3 +556,7 @@ def oracles() -> dict[str, str]:
             judged="SELECT arrived.*, coalesce(week + 7 <= bound, FALSE) AS late FROM arrived JOIN bounds USING (run)"),
         "weekly_events": f"SELECT {_WEEK.format(d='ts::DATE')} AS week, event_type, count(*) AS n FROM events GROUP BY ALL",
     }
+    found["suggestions"] = _suggestions()
+    tables = {name: found[_REPORT.get(name, name)] for name in TABLES}
+    found["report_tables"] = _together(tables, "SELECT '{name}' AS \"table\", (SELECT count(*) FROM ({query})) AS rows")
+    return found

@@ -124,7 +124,7 @@ def summarize(df: DataFrame, sentences: int = 3, important: Sequence[str] | None
 
 
 def extract_responsibilities(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """``responsibilities``: the listed items of the description."""
+    """``responsibilities``: all listed items of the description, or the first ``limit`` of them."""
     return df.withColumn("responsibilities", X.listed_items(F.coalesce("description", F.lit("")), limit))
 
 

@@ -23,8 +23,8 @@ def process(df: DataFrame, order: str = "posting_id") -> DataFrame:
     return enrich_rows(dedup(df, order))
 
 
-def describe(df: DataFrame) -> DataFrame:
-    """Summary, skills and responsibilities of each description."""
+def describe(df: DataFrame, items: int | None = 10) -> DataFrame:
+    """Summary, skills and the first ``items`` responsibilities of each description; all of them for None."""
     if "description" not in df.columns:
         return df
-    return E.extract_responsibilities(E.extract_skills(E.summarize(df)))
+    return E.extract_responsibilities(E.extract_skills(E.summarize(df)), items)
