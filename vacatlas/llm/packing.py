@@ -63,7 +63,7 @@ def pieces(
             out: dict = {name: [] for name in PIECES.names}
             ends = np.array([end_id], "<u4").tobytes()
             keys, rows = batch.column("id").to_pylist(), batch.column("row").to_pylist()
-            for key, row, ids in zip(keys, rows, encode_ids(tokenizer, batch.column("text").to_pylist()), strict=True):
+            for key, row, ids in zip(keys, rows, encode_ids(tokenizer, batch.column("text")), strict=True):
                 ids += ends
                 n = len(ids) // 4
                 for start in range(0, n, capacity):

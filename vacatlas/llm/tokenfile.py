@@ -115,7 +115,7 @@ def write_tokens(
             level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True,
         )
         for batch in bounded(batches):
-            ids = [x + end for x in encode_ids(tokenizer, batch.column("text").to_pylist())]
+            ids = [x + end for x in encode_ids(tokenizer, batch.column("text"))]
             known = np.asarray(batch.column("id").fill_null(np.iinfo(np.int64).min))
             yield record(schema, {
                 "bucket": np.searchsorted(bounds, known, "left").astype(np.int32), "id": batch.column("id"),

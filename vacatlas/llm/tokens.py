@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from pyspark.sql import DataFrame
 from .common import bounded, record, texts
 
 #: Pieces kept with their ids by a worker, and characters cut into pieces at once.
-KEPT_PIECES, SEGMENT = 800_000, 1 << 20
-BLANK_INSIDE, UNSAFE_BLANK = re.compile(r"(?<=\S) "), re.compile(r"(?:\A|\s) ")
+KEPT_PIECES, SEGMENT = 1_000_000, 1 << 20
+BLANK_INSIDE = re.compile(r"(?<=\S) ")
+#: A blank that opens a text or follows white space, of any kind, in the syntax of Arrow's patterns.
+UNSAFE_BLANK = (
+    r"(?:\A|[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
+)
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
@@ -76,7 +81,7 @@ def _library(path: str):
 
 
 class Encoder:
-    """``values(texts)`` gives, for each text, the values of its pieces in order: id bytes, or counts."""
+    """Values of pieces, id bytes or counts; ``known`` holds those met before, by the piece without its blank."""
 
     def __init__(self, path: str, value: Callable[[bytes], object]):
         self.style, self.tool, self.value = _style(path), _library(path), value
@@ -92,64 +97,90 @@ class Encoder:
             return np.asarray(self.tool.encode(item), "<u4").tobytes()
         return np.asarray(self.tool.encode_batch_fast([item], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _together(self, groups: list[list]) -> None:
+    def _together(self, pieces: list[str]) -> None:
         """Learn pieces in joined texts, which are then taken apart: by the bytes of tokens, or by their places."""
+        groups = [pieces[start:start + 64] for start in range(0, len(pieces), 64)]
+        sizes = pc.binary_length(pa.array(pieces, pa.string())) if self.style == "lead" else pc.utf8_length(pa.array(pieces, pa.string()))
+        ends = np.cumsum(np.asarray(sizes, np.int64) + 1)
         if self.style == "lead":
-            joined = [" " + " ".join(own) for own in groups]
-            found = self.tool.encode_batch_fast(joined, add_special_tokens=False)
+            found = self.tool.encode_batch_fast([" " + " ".join(own) for own in groups], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(one.ids for one in found), "<u4")
+            cuts = np.searchsorted(np.cumsum(self.spelled[ids]), ends, "right")
         else:
-            spelled = [[x.decode() for x in own] for own in groups]
-            found = self.tool.encode_batch([" ".join(own) for own in spelled], add_special_tokens=False)
-        for k, (own, one) in enumerate(zip(groups, found, strict=True)):
-            ids = np.asarray(one.ids, "<u4")
-            if self.style == "lead":
-                places = np.cumsum(self.spelled[ids])
-                ends = np.searchsorted(places, np.cumsum([len(x.encode()) + 1 for x in own]), "right")
-            else:
-                places = np.asarray(one.offsets, np.int64).reshape(-1, 2)[:, 0]
-                ends = np.searchsorted(places, np.cumsum([len(x) + 1 for x in spelled[k]]), "left")
-            data, start = ids.tobytes(), 0
-            for piece, end in zip(own, ends.tolist(), strict=True):
-                self.known[piece] = self.value(data[4 * start:4 * end])
-                start = end
-
-    def _learn(self, missing: set) -> None:
+            found = self.tool.encode_batch([" ".join(own) for own in groups], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(one.ids for one in found), "<u4")
+            counts = [len(one.ids) for one in found]
+            places = np.fromiter((place for one in found for place, _ in one.offsets), np.int64, len(ids))
+            froms = np.concatenate([[0], ends])[64 * np.arange(len(groups))]  # where each joined text begins in all of them
+            cuts = np.searchsorted(places + np.repeat(froms, counts), ends, "left")
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        value = self.value
+        self.known.update(zip(pieces, [value(data[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def _learn(self, missing: list) -> None:
         if self.style == "lead":  # the last piece of a text may end in white space, which binds to what follows
-            for piece in [x for x in missing if x[-1:].isspace() or not x]:
-                missing.discard(piece)
-                self.known[piece] = self.value(self.whole(" " + piece))
-        pieces = list(missing)
-        groups = [pieces[start:start + 64] for start in range(0, len(pieces), 64)]
-        for start in range(0, len(groups), 64):
-            self._together(groups[start:start + 64])
-
-    def _looked_up(self, cut: list[list]) -> list[list]:
-        """The value of each piece; those not known are learnt, all of the batch at once."""
-        out = [list(map(self.known.get, own)) for own in cut]
-        missing: set = set()
-        gaps = [i for i, values in enumerate(out) if None in values]
-        for i in gaps:
-            missing.update([piece for piece, value in zip(cut[i], out[i], strict=True) if value is None])
-        if len(self.known) + len(missing) > KEPT_PIECES:  # go on with what this batch needs
-            self.known = {p: v for own, values in zip(cut, out, strict=True) for p, v in zip(own, values, strict=True) if v is not None}
-        self._learn(missing)
-        for i in gaps:
-            own = cut[i]
-            out[i] = [self.known[own[k]] if value is None else value for k, value in enumerate(out[i])]
-        return out
-
-    def values(self, items: list[str]) -> Iterator[Iterable]:
-        if self.style == "whole":
-            for item in items:
-                yield [self.value(self.whole(item))]
-        elif self.style == "drop":
-            yield from self._looked_up([item.encode().split() for item in items])
-        else:
-            cut = [BLANK_INSIDE.split(item) if UNSAFE_BLANK.search(item) else item.split(" ") for item in items]
-            firsts = [own.pop(0) for own in cut]
-            for first, values in zip(firsts, self._looked_up(cut), strict=True):
-                values.insert(0, self.value(self.whole(first)))
-                yield values
+            own = [x for x in missing if not x or x[-1].isspace()]
+            if own:
+                self.known.update(zip(own, map(self.value, self._apart([" " + x for x in own])), strict=True))
+                missing = [x for x in missing if x and not x[-1].isspace()]
+        elif "" in missing:  # what white space at an end leaves
+            missing = [x for x in missing if x]
+            self.known[""] = self.value(b"")
+        for start in range(0, len(missing), 4096):
+            self._together(missing[start:start + 4096])
+
+    def _apart(self, items: list[str]) -> list[bytes]:
+        """Ids of each item on its own."""
+        found = self.tool.encode_batch_fast(items, add_special_tokens=False) if items else []
+        return [np.asarray(one.ids, "<u4").tobytes() for one in found]
+
+    def _values(self, pieces: list[str]) -> list:
+        """The value of each distinct piece; those not known are learnt."""
+        values = list(map(self.known.get, pieces))
+        gaps = [i for i, value in enumerate(values) if value is None]
+        if gaps:
+            if len(self.known) + len(gaps) > KEPT_PIECES:  # go on with what this batch needs
+                self.known = {p: v for p, v in zip(pieces, values, strict=True) if v is not None}
+            self._learn([pieces[i] for i in gaps])
+            for i in gaps:
+                values[i] = self.known[pieces[i]]
+        return values
+
+    def _cut(self, items: pa.Array) -> pa.Array:
+        """The pieces of each text between safe cuts."""
+        if self.style == "drop":
+            return pc.ascii_split_whitespace(items)
+        unsafe = pc.match_substring_regex(items, UNSAFE_BLANK)
+        if not pc.any(unsafe).as_py():
+            return pc.split_pattern(items, " ")
+        safe = pc.split_pattern(items.filter(pc.invert(unsafe)), " ")
+        rest = pa.array([BLANK_INSIDE.split(x) for x in items.filter(unsafe).to_pylist()], safe.type)
+        order = np.argsort(unsafe.to_numpy(zero_copy_only=False), kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays([safe, rest]).take(pa.array(back))
+
+    def coded(self, items: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        """Distinct values, the place among them of each piece of all texts in order, and where each text's pieces end.
+
+        A batch's distinct pieces are looked up, not each of its pieces.
+        """
+        lists = self._cut(items)
+        ends = np.asarray(lists.offsets, np.int64)
+        flat, ends = lists.values.slice(ends[0], ends[-1] - ends[0]), ends[1:] - ends[0]
+        if self.style == "drop":
+            names = flat.dictionary_encode()
+            return self._values(names.dictionary.to_pylist()), names.indices.to_numpy(), ends
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        later = np.ones(len(flat), bool)
+        later[starts] = False  # a text's first piece has no blank before it
+        names = flat.filter(pa.array(later)).dictionary_encode()
+        firsts = flat.take(pa.array(starts)).dictionary_encode()
+        values = self._values(names.dictionary.to_pylist())
+        places = np.empty(len(flat), np.int64)
+        places[later] = names.indices.to_numpy()
+        places[starts] = len(values) + firsts.indices.to_numpy()
+        return values + list(map(self.value, self._apart(firsts.dictionary.to_pylist()))), places, ends
 
 
 def _size(ids: bytes) -> int:
@@ -162,25 +193,55 @@ def encoder(path: str, counts: bool) -> Encoder:
     return Encoder(path, _size if counts else bytes)
 
 
-def _joined(tool: Encoder, items: list[str], join: Callable) -> list:
-    """The joined values of each text; texts longer than a segment are encoded part by part."""
-    out: list = [None] * len(items)
-    short = [i for i, item in enumerate(items) if len(item) <= SEGMENT or tool.style == "whole"]
-    for i, own in zip(short, tool.values([items[i] for i in short]), strict=True):
-        out[i] = join(own)
-    for i, item in enumerate(items):
-        if out[i] is None:
-            out[i] = join([join(own) for part in segments(item) for own in tool.values([part])])
-    return out
+def _parts(tool: Encoder, items: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts, those longer than a segment in parts, and where each text's parts end."""
+    longest = pc.max(pc.utf8_length(items)).as_py() or 0
+    if tool.style == "whole" or longest <= SEGMENT:
+        return items, np.arange(1, len(items) + 1)
+    cut = [list(segments(x)) for x in items.to_pylist()]
+    return pa.array([x for own in cut for x in own], pa.string()), np.cumsum([len(own) for own in cut])
+
+
+def _texts(items: pa.Array | list[str]) -> pa.Array:
+    if isinstance(items, pa.ChunkedArray):
+        items = items.combine_chunks()
+    return items if isinstance(items, pa.Array) else pa.array(items, pa.string())
+
+
+def _last(totals: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What running totals come to at each end."""
+    return np.concatenate([[0], totals])[ends]
 
 
-def count_tokens(path: str, items: list[str]) -> list[int]:
-    return _joined(encoder(path, True), items, sum)
+def count_tokens(path: str, items: pa.Array | list[str]) -> list[int]:
+    """Tokens of each text."""
+    tool, items = encoder(path, True), _texts(items)
+    if tool.style == "whole":
+        return [_size(tool.whole(x)) for x in items.to_pylist()]
+    parts, whole = _parts(tool, items)
+    values, places, ends = tool.coded(parts)
+    at = _last(np.cumsum(np.array([*values, 0], np.int64)[places]), _last(ends, whole))
+    return np.diff(at, prepend=0).tolist()
 
 
-def encode_ids(path: str, items: list[str]) -> list[bytes]:
+def encode_ids(path: str, items: pa.Array | list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    return _joined(encoder(path, False), items, b"".join)
+    tool, items = encoder(path, False), _texts(items)
+    if tool.style == "whole":
+        return [tool.whole(x) for x in items.to_pylist()]
+    parts, whole = _parts(tool, items)
+    values, places, ends = tool.coded(parts)
+    ids = np.frombuffer(b"".join(values), "<u4")
+    sizes = np.array([len(v) // 4 for v in [*values, b""]], np.int64)
+    froms = np.cumsum(sizes) - sizes
+    n = sizes[places]
+    totals = np.cumsum(n)
+    # each piece's ids are copied from where they lie once: the place of an id is its piece's start and its own number
+    at = np.repeat((froms[places] - totals + n).astype(np.int32 if len(ids) + len(n) < 1 << 30 else np.int64), n)
+    at += np.arange(len(at), dtype=at.dtype)
+    data = ids[at].tobytes()
+    edges = 4 * np.concatenate([[0], _last(totals, _last(ends, whole))])
+    return [data[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
 
 
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -197,8 +258,7 @@ def token_counts(
 
     def count(batches):
         for batch in bounded(batches):
-            items = batch.column("text").to_pylist()
-            n = count_tokens(path, items)
+            n = count_tokens(path, batch.column("text"))
             size = pc.binary_length(batch.column("text"))
             yield record(COUNTED, {
                 "doc_id": batch.column("id"), "n_bytes": size.cast(pa.int64()), "n_tokens": n,
