@@ -139,6 +139,58 @@ def test_gradients_are_those_of_the_loss():
         assert found[name][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4)
 
 
+def plain_score(model, data):
+    """The network by loops over chunks, places, filters and bytes."""
+    data = data.ljust(quality.CHUNK, b"\0")
+    starts = list(range(0, len(data) - quality.CHUNK, quality.STEP)) + [len(data) - quality.CHUNK]
+    hidden = []
+    for start in starts:
+        chunk, best = data[start:start + quality.CHUNK], [-np.inf] * quality.FILTERS
+        for place in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            inputs = np.concatenate([model["embed"][byte] for byte in chunk[place:place + quality.WIDTH]]).astype(float)
+            for f in range(quality.FILTERS):
+                best[f] = max(best[f], sum(inputs * model["filters"][:, f]) + model["bias"][f])
+        z = [max(0.0, x) for x in best]
+        hidden.append([max(0.0, sum(z[f] * model["dense"][f, h] for f in range(quality.FILTERS)) + model["dense_bias"][h]) for h in range(quality.HIDDEN)])
+    pooled = [max(column) for column in zip(*hidden, strict=True)] + [sum(column) / len(column) for column in zip(*hidden, strict=True)]
+    logit = sum(x * w for x, w in zip(pooled, model["out"], strict=True)) + model["out_bias"][0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_scores_equal_plain_loops():
+    rng = np.random.default_rng(8)
+    model = {k: (v + rng.normal(0, 0.05, v.shape)).astype(np.float32) for k, v in quality.initial(4).items()}
+    items = [b"", b"a", "é" .encode() * 200, rng.integers(0, 256, 512, dtype=np.uint8).tobytes(), rng.integers(0, 256, 1500, dtype=np.uint8).tobytes()]
+    found = quality.scores(model, items)
+    assert found == pytest.approx([plain_score(model, item) for item in items], abs=1e-4)
+    assert quality.scores(model, items[::-1])[::-1] == pytest.approx(found, abs=1e-6)
+
+
+def test_gradients_do_not_depend_on_the_chunks_held(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = quality.initial(2)
+    parts = [rng.integers(0, 256, (k, quality.CHUNK), dtype=np.uint8) for k in (1, 7, 2)]
+    labels, weights = np.array([0, 1, 1]), np.array([1.0, 2.0, 0.5])
+    whole = quality._gradients(model, parts, labels, weights)
+    monkeypatch.setattr(quality, "HELD", 3)
+    split = quality._gradients(model, parts, labels, weights)
+    for name in whole:
+        assert np.allclose(whole[name], split[name], rtol=1e-3, atol=1e-6), name
+
+
+def test_one_text_of_an_id_is_fitted_on(spark, monkeypatch):
+    """Of several texts of one id the least is taken, whole, however many rows the id has."""
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda parts, labels, **_: seen.update(parts=parts, labels=labels))
+    long = "long text " * 2000
+    rows = [(1, "b"), (1, "a"), (1, "a"), (2, None), (2, "z"), (3, long)] + [(4, "hot")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4)] + [(1, 0)], "doc_id bigint, quality int")
+    quality.train(docs, labels, held_out=9)
+    assert [bytes(p[0][:4]).rstrip(b"\0") for p in seen["parts"]] == [b"a", b"", b"long", b"hot"]
+    assert seen["labels"].tolist() == [0, 1, 1, 1] and len(seen["parts"][2]) == len(quality.chunk_starts(len(long)))
+
+
 def test_quality_tells_junk_from_prose(spark):
     rng = np.random.default_rng(2)
     words = ["river", "stone", "walks", "the", "of", "under", "a", "bright", "morning", "sleeps"]

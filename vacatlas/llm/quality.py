@@ -15,9 +15,10 @@ from .common import bounded, crc_text, record, texts
 
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 4
 EMBED, FILTERS, HIDDEN = 8, 32, 16
-#: Labelled rows that the network is fitted on, chosen by hashed id, and chunks of each, evenly spread over its text.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 3000, 16
-STEPS, BATCH, RATE = 400, 64, 5e-3
+#: Labelled rows that the network is fitted on, chosen by hashed id; all chunks of each are.
+SAMPLE_ROWS = 3000
+#: Steps of fitting, texts in a step, chunks of them that are held under the filters at once, and the first rate.
+STEPS, BATCH, HELD, RATE = 400, 64, 1024, 5e-3
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -26,13 +27,10 @@ def chunk_starts(n: int) -> np.ndarray:
     return np.append(np.arange(0, last, STEP), last)
 
 
-def chunks(data: bytes, most: int | None = None) -> np.ndarray:
-    """The chunks of a text, one row each; at most ``most`` of them, evenly spread, for fitting only."""
+def chunks(data: bytes) -> np.ndarray:
+    """The chunks of a text, one row each."""
     flat = np.frombuffer(data.ljust(CHUNK, b"\0"), np.uint8)
-    starts = chunk_starts(len(data))
-    if most and len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-    return np.lib.stride_tricks.sliding_window_view(flat, CHUNK)[starts]
+    return np.lib.stride_tricks.sliding_window_view(flat, CHUNK)[chunk_starts(len(data))]
 
 
 def initial(seed: int) -> dict[str, np.ndarray]:
@@ -95,14 +93,26 @@ def _grouped(parts: list[np.ndarray], limit: int = 1024):
         yield np.concatenate(held)
 
 
+def _under_filters(model: dict, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The inputs under the filters at each place of each chunk, each filter's best place, and its value there."""
+    windows = _windows(model, rows)
+    found = (windows.reshape(-1, windows.shape[2]) @ model["filters"]).reshape(*windows.shape[:2], -1)
+    best = found.argmax(1)
+    return windows, best, np.take_along_axis(found, best[:, None], 1)[:, 0] + model["bias"]
+
+
 def _gradients(model: dict, parts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean weighted loss of some texts, given as their chunks.
+
+    Chunks go under the filters ``HELD`` at a time, so memory does not grow with the texts: first for the hidden features,
+    from which texts are pooled, then once more for the gradients.
+    """
     rows = np.concatenate(parts)
     sizes = np.array([len(p) for p in parts])
     text, first = np.repeat(np.arange(len(parts)), sizes), np.cumsum(sizes) - sizes
-    windows = _windows(model, rows)
-    found = (windows.reshape(-1, windows.shape[2]) @ model["filters"]).reshape(*windows.shape[:2], -1)
-    best = found.argmax(1)
-    raw = np.take_along_axis(found, best[:, None], 1)[:, 0] + model["bias"]
+    held = [slice(a, a + HELD) for a in range(0, len(rows), HELD)]
+    kept = [_under_filters(model, rows)] if len(held) == 1 else None
+    raw = np.concatenate([(kept[0] if kept else _under_filters(model, rows[own]))[2] for own in held])
     z = np.maximum(raw, 0)
     pre = z @ model["dense"] + model["dense_bias"]
     hidden = np.maximum(pre, 0)
@@ -114,14 +124,17 @@ def _gradients(model: dict, parts: list[np.ndarray], labels: np.ndarray, weights
     d_hidden = d_pooled[text, HIDDEN:] / sizes[text, None] + d_pooled[text, :HIDDEN] * (hidden == top[text])
     d_pre = d_hidden * (pre > 0)
     d_raw = (d_pre @ model["dense"].T) * (raw > 0)
-    under = windows[np.arange(len(rows))[:, None], best]  # (chunks, filters, inputs)
-    d_inputs = d_raw[:, :, None] * model["filters"].T
-    places = best[:, :, None] * STRIDE + np.arange(WIDTH)
-    at = rows[np.arange(len(rows))[:, None, None], places].ravel()
-    d_inputs = d_inputs.reshape(-1, EMBED)
-    d_embed = np.stack([np.bincount(at, d_inputs[:, k], 256) for k in range(EMBED)], axis=1)
+    d_embed, d_filters = np.zeros((256, EMBED)), np.zeros(model["filters"].shape)
+    for own in held:
+        windows, best, _ = kept[0] if kept else _under_filters(model, rows[own])
+        under = windows[np.arange(len(windows))[:, None], best]  # (chunks, filters, inputs)
+        d_inputs = (d_raw[own][:, :, None] * model["filters"].T).reshape(-1, EMBED)
+        places = best[:, :, None] * STRIDE + np.arange(WIDTH)
+        at = rows[own][np.arange(len(windows))[:, None, None], places].ravel()
+        d_embed += np.stack([np.bincount(at, d_inputs[:, k], 256) for k in range(EMBED)], axis=1)
+        d_filters += np.einsum("cf,cfi->if", d_raw[own], under)
     return {
-        "embed": d_embed, "filters": np.einsum("cf,cfi->if", d_raw, under), "bias": d_raw.sum(0),
+        "embed": d_embed, "filters": d_filters, "bias": d_raw.sum(0),
         "dense": z.T @ d_pre, "dense_bias": d_pre.sum(0), "out": pooled.T @ d_logit, "out_bias": d_logit.sum(keepdims=True),
     }
 
@@ -157,8 +170,8 @@ def train(
     """Fit on at most ``sample_rows`` labelled rows whose crc32(id as text) mod ``folds`` is not ``held_out``.
 
     The rows are those of the least hashed ids, so the choice does not depend on how the table is cut. Null labels
-    and ids are left out; of several labels for one id the least counts. Of a text of more than ``SAMPLE_CHUNKS``
-    chunks so many, evenly spread, are fitted on. Every row of a chosen id is collected, also where ids repeat.
+    and ids are left out; of several labels for one id the least counts, and of several texts the least, so that no more
+    than ``sample_rows`` texts are collected, whole. Null texts are empty. Without any row see ``fit``.
     """
     chosen = (
         labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -166,18 +179,11 @@ def train(
         .groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     )
 
-    def cut(batches):
-        for batch in batches:
-            parts = [chunks(x.encode(), SAMPLE_CHUNKS).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(parts, pa.binary())], ["id", "label", "parts"])
-
     rows = (
         texts(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # at most sample_rows pairs of numbers
-        .select("id", "label", "text").mapInArrow(cut, "id bigint, label int, parts binary").toPandas()
-        .sort_values(["id", "parts"])
+        .groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("id")
     )
-    parts = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in rows["parts"]]
-    return fit(parts, rows["label"].to_numpy(), seed=seed)
+    return fit([chunks(text.encode()) for text in rows["text"]], rows["label"].to_numpy(), seed=seed)
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -206,7 +212,11 @@ def quality_scores(
 
 
 def keep_quality(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, all columns as they are."""
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns as they are.
+
+    Null and empty texts are one chunk of zeros and stay or go by its score; repeated rows stay or go together, and an
+    empty table stays empty.
+    """
     schema = docs.schema
 
     def keep(batches):
