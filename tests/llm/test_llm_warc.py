@@ -1,10 +1,11 @@
+import base64
 import gzip
 import hashlib
 
 import pytest
 import zstandard
 
-from vacatlas.llm import warc
+from vacatlas.llm import common, warc
 
 BIG = "<p>" + "é" * 200 + "</p>"
 
@@ -80,3 +81,48 @@ def test_payload_is_checked():
     for bad in (block[:-1], block.replace(b"payload", b"pAyload"), b"no head"):
         with pytest.raises(ValueError):
             warc.http_payload(headers, bad)
+
+
+def foreign(kind, block, **headers):
+    """A record as another writer may write it."""
+    own = {"WARC-Record-ID": "<urn:uuid:6d058047-ede2-4a13-be79-90c17c631dd4>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Length": str(len(block))}
+    lines = "".join(f"{k}: {v}\r\n" for k, v in (own | {k.replace("_", "-"): v for k, v in headers.items()}).items())
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_whole_archives_of_other_writers(spark, tmp_path):
+    http = "application/http;msgtype=response"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: other\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http;msgtype=request"),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\nhello", Content_Type=http, WARC_Payload_Digest=sha1, WARC_Target_URI="u1"),
+        foreign("response", b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n3\r\nhel\r\n2;x=1\r\nlo\r\n0\r\n\r\n", Content_Type=http, WARC_Payload_Digest=sha1),
+        foreign("response", b"20240101 1.2.3.4", Content_Type="text/dns", WARC_Target_URI="dns:host"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 900\r\n\r\nhel", Content_Type=http, WARC_Truncated="length", WARC_Payload_Digest=sha1),
+        foreign("revisit", b"", WARC_Payload_Digest=sha1, WARC_Refers_To_Target_URI="u1"),
+        foreign("metadata", b"fetchTimeMs: 3\r\n"), RECORD,
+    ]
+    path = str(tmp_path / "w")
+    files = spark.createDataFrame([(bytearray(archive(records) + warc.TAIL),)], "file binary")
+    common.write_files(files, path)
+    found = warc.read_archives(spark, path, with_payload=True).collect()
+    hello = hashlib.sha256(b"hello").hexdigest()
+    assert [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, bytes(r.payload or b"")) for r in found] == [
+        (None, 5, hello, "response", b"hello"), (None, 5, hello, "response", b"hello"),
+        (None, 900, hashlib.sha256(b"hel").hexdigest(), "response", b"hel"), (None, None, sha1, "revisit", b""),
+        (1, 7, hashlib.sha256(b"payload").hexdigest(), "response", b"payload"),
+    ]
+    assert found[0].url == "u1" and found[0].record_id.startswith("<urn:uuid:")
+
+
+@pytest.mark.parametrize("block", [
+    b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n9\r\nhello\r\n0\r\n\r\n",
+    b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\nhello", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\nContent-Length: 6\r\n\r\nhello",
+    b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\nhello", b"HTTP/1.1 200 OK\r\n\r\nhellO",
+])
+def test_bad_bodies_of_others_raise(block):
+    digest = "sha1:" + hashlib.sha1(b"hello").hexdigest()
+    headers, own = warc.parse_record(foreign("response", block, WARC_Payload_Digest=digest))
+    with pytest.raises(ValueError):
+        warc.http_payload(headers, own)

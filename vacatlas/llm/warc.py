@@ -6,7 +6,9 @@ follows the convention, decodes frame by frame and validates every header and le
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -159,36 +161,90 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:-4]
 
 
-def http_payload(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
-    """The payload a record holds, and the full payload's length as its HTTP head has it; checks length and digest."""
-    head, found, body = block.partition(b"\r\n\r\n")
-    lengths = [x.partition(b":")[2] for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")]
-    if not found or not head.startswith(b"HTTP/") or len(lengths) != 1:
-        raise ValueError("no HTTP head")
-    size = int(lengths[0])
-    kind, digest = headers["warc-type"], headers.get("warc-payload-digest", "")
-    if kind == "response" and (len(body) != size or digest != "sha256:" + hashlib.sha256(body).hexdigest()):
-        raise ValueError(f"the payload of {headers['warc-record-id']} does not fit its length or digest")
-    if kind == "revisit" and (body or "warc-refers-to" not in headers or not digest):
-        raise ValueError(f"the revisit {headers['warc-record-id']} has a body or lacks what it refers to")
-    return body, size
+def _unchunked(body: bytes) -> bytes:
+    """A body without its chunked transfer coding; raises where that is not whole."""
+    out, place = [], 0
+    while True:
+        line, found, _ = body[place:place + 1024].partition(b"\r\n")
+        number = line.partition(b";")[0].strip()
+        if not found or not re.fullmatch(rb"[0-9A-Fa-f]+", number):
+            raise ValueError(f"no chunk at {place} of the body")
+        size, place = int(number, 16), place + len(line) + 2
+        if not size:
+            return b"".join(out)
+        if body[place + size:place + size + 2] != b"\r\n":
+            raise ValueError(f"chunk cut short at {place} of the body")
+        out.append(body[place:place + size])
+        place += size + 2
+
+
+def digest_fits(stated: str, payload: bytes) -> bool:
+    """Whether a stated digest is that of a payload, in hex or base 32; digests of other algorithms are taken as they are."""
+    kind, _, value = stated.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    own = hashlib.new(kind, payload, usedforsecurity=False).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def http_payload(headers: dict[str, str], block: bytes) -> tuple[bytes, int | None]:
+    """The payload a record holds, without transfer coding, and the full payload's length; checks length and digest.
+
+    Of a revisit that is the length its HTTP head states, None where it states none.
+    """
+    kind, digest, name = headers["warc-type"], headers.get("warc-payload-digest"), headers["warc-record-id"]
+    if kind == "revisit" and not block:
+        head, found, body = b"HTTP/", b"", b""
+    else:
+        head, found, body = block.partition(b"\r\n\r\n")
+        if not found or not head.startswith(b"HTTP/"):
+            raise ValueError("no HTTP head")
+    fields = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])]
+    lengths = {v for k, v in fields if k == b"content-length"}
+    if len(lengths) > 1 or not all(v.isdigit() for v in lengths):
+        raise ValueError("no single length in the HTTP head")
+    chunked = any(k == b"transfer-encoding" and b"chunked" in v.lower() for k, v in fields)
+    size = int(next(iter(lengths))) if lengths and not chunked else None
+    if kind == "revisit":
+        if body or not digest or not ("warc-refers-to" in headers or "warc-refers-to-target-uri" in headers):
+            raise ValueError(f"the revisit {name} has a body or lacks what it refers to")
+        return b"", size
+    if chunked and not headers.get("warc-truncated"):
+        body = _unchunked(body)
+    if headers.get("warc-truncated"):  # a payload cut by its crawler has neither its length nor its digest
+        return body, len(body) if size is None else size
+    if (size is not None and len(body) != size) or (digest and not digest_fits(digest, body)):
+        raise ValueError(f"the payload of {name} does not fit its length or digest")
+    return body, len(body)
 
 
 READ = pa.schema([
     ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-    ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()),
+    ("payload", pa.binary()),
 ])
+_PAGE = re.compile(r"<urn:page:(-?\d{1,19})>\Z")
 
 
 def _page(name: str | None) -> int | None:
-    value = name[len("<urn:page:"):-1] if name else "null"
-    return None if value == "null" else int(value)
+    """The page that a record id of this module's writer names; null for its null page, and for ids of others."""
+    found = _PAGE.match(name or "")
+    return int(found[1]) if found else None
+
+
+def _is_http(headers: dict[str, str]) -> bool:
+    kind = headers.get("content-type", "application/http").lower()
+    return headers["warc-type"] in ("response", "revisit") and kind.startswith("application/http")
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Every response and revisit of the archives in a folder; ``payload`` (of responses) only if asked for.
+    """Every HTTP response and revisit of the archives in a folder; ``payload`` (of responses) only if asked for.
 
-    Length and digest are of the full payload, for revisits as their heads state them. Damage raises.
+    Length and digest are of the full payload: the SHA-256 of what a response holds, and for revisits what their heads
+    state, the length null where they state none, and the digest with its algorithm where that is not SHA-256. Records of
+    other types, or of other protocols, are passed over. Records of other writers have a ``record_id``, but no page. Damage
+    raises.
     """
 
     def read(batches):
@@ -198,12 +254,18 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 for place, data in frames(content.as_buffer()):
                     try:
                         headers, block = parse_record(data)
+                        if not _is_http(headers):
+                            continue
                         body, size = http_payload(headers, block)
                     except ValueError as error:
                         raise ValueError(f"record at {place}: {error}") from error
+                    stated = headers.get("warc-payload-digest", "")
+                    whole = headers["warc-type"] == "response" and not stated.startswith("sha256:")
                     row = (
-                        _page(headers["warc-record-id"]), size, headers["warc-payload-digest"].removeprefix("sha256:"),
+                        _page(headers["warc-record-id"]), size,
+                        hashlib.sha256(body).hexdigest() if whole else stated.removeprefix("sha256:"),
                         headers["warc-type"], _page(headers.get("warc-refers-to")), headers.get("warc-target-uri"),
+                        headers["warc-record-id"],
                         body if with_payload and headers["warc-type"] == "response" else None,
                     )
                     for name, value in zip(READ.names, row, strict=True):
@@ -215,5 +277,5 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
     return read_files(spark, path).select("content").mapInArrow(
         read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
-        "url string, payload binary"
+        "url string, record_id string, payload binary"
     )
