@@ -57,14 +57,27 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return rows.mapInArrow(emit, "id bigint, label bigint, dim int, d1 bigint, d2 bigint, vec binary")
 
 
-LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+LINK = pa.schema([("a", pa.int64()), ("root", pa.int64()), ("others", pa.int64())])
+
+
+def least_reached(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the least row that is reached from it, itself included."""
+    least = np.arange(len(linked))
+    while True:
+        found = np.minimum(least, np.where(linked, least[None, :], len(linked)).min(axis=1, initial=len(linked)))
+        found = found[found]
+        if (found == least).all():
+            return least
+        least = found
 
 
 def vector_links(classes: DataFrame, cosine: float, bits: int, tables: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: pairs of classes that share a bucket and have at least that cosine; each pair once.
+    """(a, root, others) of classes that share a bucket with ones of at least that cosine.
 
-    ``classes`` has cid, label, dim and vec. A bucket of more than ``block`` classes is cut into blocks, and every
-    pair of blocks is a group of its own. A pair leaves the first table alone that it meets in.
+    ``classes`` has cid, label, dim, members and vec. A bucket of more than ``block`` classes is cut into blocks, and
+    every pair of blocks is a group of its own. A pair counts in the first table alone that it meets in: a class has one
+    row per group with such partners, ``others`` the members of these, ``root`` the least class its links reach within
+    the group. So all ``others`` of a class add up to its links, all roots join what links join, and no pair is a row.
     """
 
     def hashed(batches):
@@ -77,12 +90,14 @@ def vector_links(classes: DataFrame, cosine: float, bits: int, tables: int, seed
                 units = x / np.linalg.norm(x, axis=1, keepdims=True)
                 found = codes(units, bits, tables, seed)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("cid"), part.column("label"), part.column("dim"),
+                    part.column("cid"), part.column("label"), part.column("dim"), part.column("members"),
                     pa.ListArray.from_arrays(np.arange(0, found.size + 1, tables, dtype=np.int32), found.ravel()),
                     pa.array([u.tobytes() for u in units], pa.binary()),
-                ], ["cid", "label", "dim", "codes", "unit"])
+                ], ["cid", "label", "dim", "members", "codes", "unit"])
 
-    units = stored(classes.mapInArrow(hashed, "cid bigint, label bigint, dim int, codes array<bigint>, unit binary"), "units")
+    units = stored(
+        classes.mapInArrow(hashed, "cid bigint, label bigint, dim int, members bigint, codes array<bigint>, unit binary"), "units"
+    )
     met = units.select("cid", "label", "dim", F.posexplode("codes").alias("table", "code"))
     bucket = ["label", "dim", "table", "code"]
     sizes = met.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
@@ -93,18 +108,18 @@ def vector_links(classes: DataFrame, cosine: float, bits: int, tables: int, seed
         .select("cid", *bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     )
     groups = (
-        dealt.join(units.select("cid", "codes", "unit"), "cid")
-        .groupBy(*bucket, "i", "j").agg(F.collect_list(F.struct("cid", "own", "codes", "unit")).alias("members"))
-        .select("table", "i", "j", "members")
+        dealt.join(units.select("cid", "members", "codes", "unit"), "cid")
+        .groupBy(*bucket, "i", "j").agg(F.collect_list(F.struct("cid", "own", "members", "codes", "unit")).alias("rows"))
+        .select("table", "i", "j", "rows")
     )
 
     def compare(batches):
         for batch in batches:
-            out: list[np.ndarray] = []
+            out: dict[str, list[np.ndarray]] = {name: [] for name in LINK.names}
             for g in range(batch.num_rows):
                 table, i, j = (batch.column(c)[g].as_py() for c in ("table", "i", "j"))
-                rows = batch.column("members")[g].values
-                ids, own = rows.field("cid").to_numpy(), rows.field("own").to_numpy()
+                rows = batch.column("rows")[g].values
+                ids, own, members = (rows.field(c).to_numpy() for c in ("cid", "own", "members"))
                 found = np.stack([x.values.to_numpy() for x in rows.field("codes")])
                 unit = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in rows.field("unit")])
                 good = np.triu(unit @ unit.T >= cosine, 1)
@@ -112,12 +127,17 @@ def vector_links(classes: DataFrame, cosine: float, bits: int, tables: int, seed
                     good &= own[:, None] != own[None, :]
                 a, b = np.nonzero(good)
                 first = ~(found[a, :table] == found[b, :table]).any(axis=1)
-                pair = np.stack([ids[a[first]], ids[b[first]]], axis=1)
-                out.append(np.sort(pair, axis=1))
-            flat = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-            yield record(LINK, {"a": flat[:, 0], "b": flat[:, 1]})
+                good[a[~first], b[~first]] = False
+                linked = good | good.T
+                some = np.flatnonzero(linked.any(axis=1))
+                some = some[np.argsort(ids[some], kind="stable")]
+                linked = linked[np.ix_(some, some)]
+                out["a"].append(ids[some])
+                out["root"].append(ids[some][least_reached(linked)])
+                out["others"].append(linked @ members[some])
+            yield record(LINK, {name: np.concatenate(v) if v else np.empty(0, np.int64) for name, v in out.items()})
 
-    return groups.mapInArrow(compare, "a bigint, b bigint")
+    return groups.mapInArrow(compare, "a bigint, root bigint, others bigint")
 
 
 def near_vectors(
@@ -139,11 +159,10 @@ def near_vectors(
             F.first("dim").alias("dim"), F.first("vec").alias("vec"),
         ).where("cid is not null"), "classes",
     )
-    links = stored(vector_links(classes.select("cid", "label", "dim", "vec"), cosine, bits, tables, seed), "links")
-    both = links.union(links.select("b", "a"))
-    weights = classes.select(F.col("cid").alias("b"), "members")
-    met = both.join(weights, "b").groupBy("a").agg(F.sum("members").alias("others")).withColumnRenamed("a", "cid")
-    roots = components(links).withColumnRenamed("id", "cid")
+    links = stored(vector_links(classes.select("cid", "label", "dim", "members", "vec"), cosine, bits, tables, seed), "links")
+    met = links.groupBy(F.col("a").alias("cid")).agg(F.sum("others").alias("others"))
+    joins = links.where(F.col("a") != F.col("root")).select("a", F.col("root").alias("b"))
+    roots = components(joins).withColumnRenamed("id", "cid")
     known = classes.select("d1", "d2", "cid", "members").join(met, "cid", "left").join(roots, "cid", "left").select(
         "d1", "d2", F.coalesce("root", "cid").alias("root"),
         (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"),
