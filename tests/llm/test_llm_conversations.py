@@ -150,8 +150,10 @@ def test_turns_that_are_left(spark):
     rows = [(1, 1, "user", "Hi."), (1, 2, "user", "There."), (1, 3, "tool", "Done."), (2, 1, "system", "Be kind.")]
     parts = conversations.repair(frame(spark, rows))
     left = conversations.repaired_turns(parts).orderBy("conv", "piece", "part", "place").collect()
-    # three edits cost 7, and DKR is the least of them; to delete the system turn costs 4, to complete it 6
-    assert [(r.conv, r.role, r.text) for r in left] == [(1, "user", "There."), (1, "assistant", "Done.")]
+    # an answer is inserted and the tool's turn given to the assistant, for 6; to delete the system turn costs 4
+    assert [(r.conv, r.role, r.text) for r in left] == [
+        (1, "user", "Hi."), (1, "assistant", ""), (1, "user", "There."), (1, "assistant", "Done."),
+    ]
 
 
 def test_very_long_texts_and_empty_tables(spark):

@@ -127,11 +127,15 @@ def vector_links(classes: DataFrame, cosine: float, bits: int, tables: int, seed
                     good &= own[:, None] != own[None, :]
                 a, b = np.nonzero(good)
                 first = ~(found[a, :table] == found[b, :table]).any(axis=1)
-                good[a[~first], b[~first]] = False
-                linked = good | good.T
-                some = np.flatnonzero(linked.any(axis=1))
+                a, b = a[first], b[first]
+                if not len(a):
+                    continue
+                some = np.unique(np.concatenate([a, b]))
                 some = some[np.argsort(ids[some], kind="stable")]
-                linked = linked[np.ix_(some, some)]
+                place = np.empty(len(ids), np.int64)
+                place[some] = np.arange(len(some))
+                linked = np.zeros((len(some), len(some)), bool)
+                linked[place[a], place[b]] = linked[place[b], place[a]] = True
                 out["a"].append(ids[some])
                 out["root"].append(ids[some][least_reached(linked)])
                 out["others"].append(linked @ members[some])
