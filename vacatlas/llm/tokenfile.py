@@ -21,6 +21,8 @@ from .tokens import encode_ids
 
 HEAD, FOOT, HEAD_BYTES, FOOT_BYTES = "<8sIIQQ32s", "<Q8s", 64, 16
 MAGIC, END = b"VTOK0001", b"VTOKEND1"
+#: Pieces that a worker keeps with their ids; writing files leaves the memory for it.
+MOST_PIECES = 1_000_000
 #: Bytes of frames in a file, documents in a range, ranges at most, and documents and bytes of text the dictionary is
 #: trained on. The dictionary alters sizes, never contents.
 FILE_BYTES, RANGE_DOCS, RANGES, SAMPLE_DOCS, SAMPLE_BYTES = 16 << 20, 2048, 100_000, 512, 1 << 14
@@ -115,7 +117,7 @@ def write_tokens(
             level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True,
         )
         for batch in bounded(batches):
-            ids = [x + end for x in encode_ids(tokenizer, batch.column("text"))]
+            ids = [x + end for x in encode_ids(tokenizer, batch.column("text"), MOST_PIECES)]
             known = np.asarray(batch.column("id").fill_null(np.iinfo(np.int64).min))
             yield record(schema, {
                 "bucket": np.searchsorted(bounds, known, "left").astype(np.int32), "id": batch.column("id"),

@@ -83,8 +83,8 @@ def _library(path: str):
 class Encoder:
     """Values of pieces, id bytes or counts; ``known`` holds those met before, by the piece without its blank."""
 
-    def __init__(self, path: str, value: Callable[[bytes], object]):
-        self.style, self.tool, self.value = _style(path), _library(path), value
+    def __init__(self, path: str, value: Callable[[bytes], object], kept: int | None = None):
+        self.style, self.tool, self.value, self.kept = _style(path), _library(path), value, kept
         self.known: dict = {}
         if self.style == "lead":
             spelled = {i: len(token) for token, i in self.tool.get_vocab().items()}
@@ -139,7 +139,7 @@ class Encoder:
         values = list(map(self.known.get, pieces))
         gaps = [i for i, value in enumerate(values) if value is None]
         if gaps:
-            if len(self.known) + len(gaps) > KEPT_PIECES:  # go on with what this batch needs
+            if len(self.known) + len(gaps) > (self.kept or KEPT_PIECES):  # go on with what this batch needs
                 self.known = {p: v for p, v in zip(pieces, values, strict=True) if v is not None}
             self._learn([pieces[i] for i in gaps])
             for i in gaps:
@@ -188,9 +188,9 @@ def _size(ids: bytes) -> int:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, counts: bool) -> Encoder:
+def encoder(path: str, counts: bool, kept: int | None = None) -> Encoder:
     """One per worker process."""
-    return Encoder(path, _size if counts else bytes)
+    return Encoder(path, _size if counts else bytes, kept)
 
 
 def _parts(tool: Encoder, items: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -224,9 +224,9 @@ def count_tokens(path: str, items: pa.Array | list[str]) -> list[int]:
     return np.diff(at, prepend=0).tolist()
 
 
-def encode_ids(path: str, items: pa.Array | list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    tool, items = encoder(path, False), _texts(items)
+def encode_ids(path: str, items: pa.Array | list[str], kept: int | None = None) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers. A worker keeps ``kept`` pieces with their ids."""
+    tool, items = encoder(path, False, kept), _texts(items)
     if tool.style == "whole":
         return [tool.whole(x) for x in items.to_pylist()]
     parts, whole = _parts(tool, items)
