@@ -252,7 +252,46 @@ def test_contamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bench).count()
 
 
-def test_blocks_of_items_find_the_same(spark):
-    items = spark.createDataFrame([(i, f"q{i} a{i} b{i} c{i} d{i} e{i}") for i in range(9)], "item_id bigint, text string")
-    assert len(decontaminate.blocks(items, 5, 0.8, "item_id", "text", block_bytes=100)) > 1
+def test_items_joined_instead_of_broadcast(spark):
+    texts = [f"q{i} a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(9)]
+    items = spark.createDataFrame([*enumerate(texts), (50, texts[3].upper())], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"x y {t} z") for i, t in enumerate(texts * 2)], "doc_id bigint, text string")
+    found = [sorted(map(tuple, decontaminate.contaminated(docs, items, broadcast_bytes=n).collect())) for n in (0, 1 << 20)]
+    assert found[0] == found[1] and len(found[0]) == 20
+    assert decontaminate.remove_contaminated(docs, items, broadcast_bytes=0).count() == 0
     assert decontaminate.least_hits(10, 0.8) == 8 and 1 <= decontaminate.least_hits(500, 0.8) < 16
+
+
+def test_values_that_many_items_hold_are_left_unasked(spark):
+    shared = " ".join(f"s{j}" for j in range(20))
+    rows = [(i, f"{shared} {' '.join(f'u{i}x{j}' for j in range(20))}") for i in range(30)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    table = decontaminate.item_table(items, 5, 0.8, "item_id", "text")
+    whole, rare = (decontaminate.kept_values(table, n).collect() for n in (100, 3))
+    assert len(rare) < len(whole) and {r.item for r in rare} == {r.item for r in whole}
+    assert all(r.needed >= 1 for r in rare) and min(r.needed for r in rare) < min(r.needed for r in whole)
+
+
+def test_decontamination_of_odd_tables(spark):
+    item = "one two three four five six seven"
+    items = spark.createDataFrame([(1, item, "x"), (1, item, "y")], "item_id int, text string, row string")
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    rows = [("a", None, 1.5), ("b", "", None), ("c", f"{long} {item} {long}", 2.0), ("c", f"{long} {item} {long}", 2.0), ("d", long, 0.0)]
+    docs = spark.createDataFrame(rows, "values string, body string, row double")
+    kept = decontaminate.remove_contaminated(docs, items, text_col="body")
+    assert kept.schema == docs.schema and sorted(r["values"] for r in kept.collect()) == ["a", "b", "d"]
+    found = decontaminate.contaminated(docs, items, id_col="row", text_col="body").collect()
+    assert [(r.doc_id, r.item_id, r.n_shared) for r in found] == [(2, 1, 3)] * 4
+    only = decontaminate.remove_contaminated(docs.select("body"), items, text_col="body")
+    assert only.columns == ["body"] and only.count() == 3
+
+
+def test_filter_of_values(spark):
+    values = spark.range(5000).selectExpr("xxhash64(id) AS value")
+    for most in (1 << 27, 1 << 12):
+        words = decontaminate.value_filter(values, most)
+        assert len(words) * 64 <= most
+        own = np.array([r.value for r in values.collect()], np.int64).view(np.uint64)
+        assert len(decontaminate.held(own, words)) == 5000
+    words = decontaminate.value_filter(values)
+    assert len(decontaminate.held(np.random.default_rng(0).integers(0, 1 << 63, 100_000, dtype=np.uint64), words)) < 20

@@ -51,11 +51,11 @@ def record(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table below the shared folder and read it back: lineage ends there, and it is computed once."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table below the shared folder, in folders of ``by``, and read it back: lineage ends, it is computed once."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
