@@ -1,4 +1,8 @@
-"""From raw documents to training sequences, in stages that each read what the one before kept."""
+"""From raw documents to training sequences, in stages that each read what the one before kept.
+
+All stages take null and empty texts, repeated rows, rows without an id, further columns and empty tables: such texts
+hold no shingle, window or benchmark item, so only the classifier can reject them; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
