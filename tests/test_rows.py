@@ -33,6 +33,20 @@ def test_dedup_on_the_columns_there_are(spark):
     assert dedup(df.limit(0)).count() == 0
 
 
+def test_dedup_drops_rows_before_the_join_that_adds_the_texts(spark):
+    orders = spark.createDataFrame([(1, "a", 7), (2, "a", 7), (3, "b", 8), (None, "c", 8)], "id bigint, title string, doc int")
+    texts = spark.createDataFrame([(7, "x"), (8, "y")], "doc int, text string")
+    df = orders.join(texts, "doc").select(
+        F.col("id").alias("posting_id"), F.upper("title").alias("title"),
+        F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("description"),
+    )
+    kept = dedup(df)
+    lines = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {kind: min(line.index("Join") for line in lines if f"Join {kind}" in line) for kind in ("Inner", "LeftSemi")}
+    assert depth["LeftSemi"] > depth["Inner"]
+    assert sorted(r.description for r in kept.collect()) == ["<p>x</p>", "<p>y</p>"]
+
+
 def test_dedup_of_a_hot_key(spark):
     df = spark.range(3000).select(
         F.col("id").alias("posting_id"),
