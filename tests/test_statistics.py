@@ -251,3 +251,20 @@ def test_a_failing_part_of_the_report_is_skipped(market, spark, tmp_path, monkey
     written = report.write_report(market, str(tmp_path), "2024-01-07", skipped)
     assert set(written) == {"kpis", "top_skills"} and [name for name, _ in skipped] == ["broken", "late"]
     assert spark.read.parquet(written["kpis"]).first().postings == 4000
+
+
+@pytest.mark.parametrize("name", [
+    "yoe_histogram", "years_histogram", "years_histogram_readable", "salary_histogram", "salary_histogram_readable",
+    "yoe_bands", "yoe_kpis", "skill_gaps",
+])
+def test_postings_are_counted_once_for_all_that_is_read_from_them(spark, name, tmp_path):
+    from vacatlas.catalog.queries import QUERIES
+
+    spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE '2024-01-01' AS o_orderdate").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    spark.range(5).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "text" not in plan  # the counts are kept; nothing goes back to the texts
+    assert found.count() > 0
