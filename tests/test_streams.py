@@ -150,3 +150,17 @@ def test_refresh_of_a_long_history_reads_few_files(spark, tmp_path, monkeypatch)
     assert sorted(r.posting_id for r in stored.collect()) == [run * 100 + i for run in range(4) for i in range(60)]
     files = spark.read.parquet(f"{root}/processed_jobs_keys/keys").select("batch", "bucket").distinct().count()
     assert 1 <= len(read[-2]) < 0.2 * files  # the one repeated key, and what filters hold by chance
+
+
+def test_stream_dedup_query_moves_no_texts(spark, tmp_path, monkeypatch):
+    from vacatlas.catalog import queries
+
+    spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE '2024-01-01' AS o_orderdate").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    spark.range(5).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    written, drain = [], ingest.drain
+    monkeypatch.setattr(ingest, "drain", lambda *a, **k: written.append(drain(*a, **k)) or written[-1])
+    found = {r.url: r.n for r in queries.stream_dedup(spark, str(tmp_path)).collect()}
+    assert written[0].columns == ["posting_id", "url"]
+    assert set(found.values()) == {1} and len(found) == 36  # 9, 19, 29 and 39 have the url of the key before
