@@ -25,7 +25,7 @@ from .common import stored, texts
 from .words import mixed, named
 
 #: Rounds to the symbols that reveal, and rounds in all; bytes of text in a batch, and for each range of names.
-LOW_ROUNDS, ROUNDS, BATCH_BYTES, RANGE_BYTES = 6, 26, 6 << 20, 8 << 20
+LOW_ROUNDS, ROUNDS, BATCH_BYTES, RANGE_BYTES = 6, 26, 4 << 20, 8 << 20
 
 
 class Parse:
