@@ -22,7 +22,7 @@ from .tokens import encode_ids
 HEAD, FOOT, HEAD_BYTES, FOOT_BYTES = "<8sIIQQ32s", "<Q8s", 64, 16
 MAGIC, END = b"VTOK0001", b"VTOKEND1"
 #: Pieces that a worker keeps with their ids; writing files leaves the memory for it.
-MOST_PIECES = 500_000
+MOST_PIECES = 800_000
 #: Bytes of frames in a file, documents in a range, ranges at most, and documents and bytes of text the dictionary is
 #: trained on. The dictionary alters sizes, never contents.
 FILE_BYTES, RANGE_DOCS, RANGES, SAMPLE_DOCS, SAMPLE_BYTES = 16 << 20, 2048, 100_000, 512, 1 << 14
