@@ -164,3 +164,41 @@ def test_stream_dedup_query_moves_no_texts(spark, tmp_path, monkeypatch):
     found = {r.url: r.n for r in queries.stream_dedup(spark, str(tmp_path)).collect()}
     assert written[0].columns == ["posting_id", "url"]
     assert set(found.values()) == {1} and len(found) == 36  # 9, 19, 29 and 39 have the url of the key before
+
+
+def test_refresh_builds_postings_after_choosing_them(spark, tmp_path, monkeypatch):
+    """The kept ids reach below what joins the texts, so that no text is moved for them, and rows are those of one batch."""
+    from vacatlas.catalog import queries
+    from vacatlas.catalog.tables import postings
+
+    orders = f"{tmp_path}/orders.parquet"
+    for low in (0, 60):
+        spark.range(low, low + 60, numPartitions=1).selectExpr(
+            "id AS o_orderkey", "id % 9 AS o_custkey", "DATE '2024-01-01' AS o_orderdate"
+        ).write.mode("append").parquet(orders)
+    spark.range(5).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, enrich = [], ingest.enrich_rows
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return enrich(df)
+
+    monkeypatch.setattr(ingest, "enrich_rows", watched)
+    found = sorted(map(str, queries.stream_snapshot(spark, str(tmp_path)).collect()))
+    whole = process(postings(spark, str(tmp_path))).select("posting_id", "region", "salary_max_annual")
+    assert found == sorted(map(str, whole.collect())) and 0 < len(found) < 120
+    assert all(text.index(" AS description") < text.index("LeftSemi") for text in plans)
+
+
+def test_refresh_builds_each_batch(spark, tmp_path):
+    source, root, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def build(df):
+        return df.withColumn("description", F.concat(F.col("description"), F.lit(" in R and SQL")))
+
+    for batch in BATCHES:
+        rows(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        ingest.refresh_snapshot(ingest.posting_stream(spark, source), root, "processed_jobs", checkpoint=state, build=build)
+    whole = process(build(rows(spark, [line for batch in BATCHES for line in batch])))
+    stored = spark.read.parquet(f"{root}/processed_jobs").drop("batch")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, whole.collect()))

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.dedup import KEY
+from ..operators.dedup import KEY, among
 from ..operators.enrich import extract_skills
 from ..plans.process import enrich_rows
 from ..session import stored, work_path
@@ -141,7 +141,8 @@ def posting_key(df: DataFrame) -> Column:
 
 
 def refresh_snapshot(
-    stream: DataFrame, root: str, stage: str, order: str = "posting_id", checkpoint: str | None = None
+    stream: DataFrame, root: str, stage: str, order: str = "posting_id", checkpoint: str | None = None,
+    build: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Add the new postings of a stream to a stored stage, without duplicates of stored ones.
 
@@ -150,12 +151,18 @@ def refresh_snapshot(
     of the stores that may hold one of its keys (see ``keystore``), so that neither side of the comparison has a hot value
     and a long history is not read. The result is that of deduplicating all batches together. Progress is kept beside the
     stage, so that another call goes on where the last one ended.
+
+    A batch reaches Spark's planner as finished rows, so what a stream is made of is moved with them. ``build`` makes the
+    postings of a batch of the stream instead: then columns and the choice of rows reach below it, and where it joins wide
+    texts, only keys are compared, and texts are read and written without being moved for it. ``build`` goes by row: what
+    it makes of all batches together is what it makes of each.
     """
     rows_path = f"{root}/{stage}"
-    url_kind = dict(stream.dtypes)["url"]
 
-    def refresh(rows: DataFrame, batch: int) -> None:
-        session = rows.sparkSession
+    def refresh(arrived: DataFrame, batch: int) -> None:
+        session = arrived.sparkSession
+        rows = build(arrived) if build else arrived
+        url_kind = dict(rows.dtypes)["url"]
         seen = KeyStore(session, f"{root}/{stage}_keys")
         urls = KeyStore(session, f"{root}/{stage}_urls", url_kind)
         keyed = rows.select(order, posting_key(rows).alias("key"), "url")
@@ -164,9 +171,8 @@ def refresh_snapshot(
         by_url = new.groupBy(F.col("url").alias("key")).agg(F.min(order).alias(order))
         old = urls.known(by_url, batch).withColumnRenamed("key", "old_url")
         kept = stored(by_url.join(old, F.col("key").eqNullSafe(F.col("old_url")), "left_anti"), "kept-urls")
-        enrich_rows(rows.join(kept.select(order), order, "left_semi")).write.mode("overwrite").parquet(
-            f"{rows_path}/batch={batch}"
-        )
+        fresh = among(rows, order, kept)
+        enrich_rows(fresh).write.mode("overwrite").option("compression", "zstd").parquet(f"{rows_path}/batch={batch}")
         seen.add(new, batch)
         urls.add(kept, batch)
 
