@@ -78,3 +78,8 @@ def test_postings_fill_all_cores(spark):
     wide = spark.range(1000, numPartitions=cores)
     assert spread(wide, "id") is wide
 
+
+def test_years_phrases_are_collected_once(spark):
+    rows = spark.createDataFrame([(1, "2 to 4 years experience")], "posting_id bigint, description string")
+    text = E.extract_years(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all") == 1

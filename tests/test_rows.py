@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vacatlas.functions import text as X
+from vacatlas.functions import patterns as P, text as X
 from vacatlas.operators import clustering as C, enrich as E, gazetteer
 from vacatlas.operators.dedup import dedup
 from vacatlas.dictionaries import CITY_COORDINATES
@@ -182,3 +182,17 @@ def test_small_expressions(spark):
     assert tuple(row) == (
         "$12,346", "1234.2", "2", "12.3%", "HUB", "a: b", "none", "a-b_c_d", "Ml Frameworks", 20, None, "2024-01-05",
     )
+
+
+def test_white_space_is_what_it_was_for_every_character(spark):
+    """The pattern that whole texts are searched for finds the same characters as the class."""
+    codes = spark.range(0x10000).where("id < 55296 OR id > 57343").selectExpr(
+        "id", "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c"
+    )
+    both = codes.select("id", F.rlike("c", F.lit(P.SPACE_TO_FIND)).alias("find"), F.rlike("c", F.lit(P.SPACE_NOT_BLANK)).alias("cls"))
+    assert both.where("find != cls").count() == 0 and both.where("find").count() == len(P.SPACE_CHARS) - 1
+
+
+def test_a_stated_minimum_folds_cases_as_before(one):
+    texts = ["mın 3 years", "MİN 4 years", "aT leaſt 5 YEARS", "MINIMUM 6 year", "no minimum", "x at  least 7 years"]
+    assert one(texts, "description", E.extract_years, "yoe_min") == [3, 4, 5, 6, None, 7]

@@ -26,18 +26,24 @@ def has_only_blanks(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Tags to blanks, white space to single blanks, ends stripped; null to ""."""
     untagged = F.regexp_replace(F.coalesce(html, F.lit("")), P.HTML_TAG, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(untagged, P.SPACE_NOT_BLANK, " "), P.BLANKS, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(untagged, P.SPACE_TO_FIND, " "), P.BLANKS, " "))
 
 
-def years_phrase(text: Column) -> Column:
+def years_phrases(text: Column) -> Column:
+    """The phrases of a text that start with a figure, which ``years_phrase`` looks at."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(P.YEARS_PHRASE), F.lit(0)), "\n")
+
+
+def years_phrase(text: Column, phrases: Column | None = None) -> Column:
     """The phrase that states the experience asked for, or null.
 
     A phrase with two figures starts with ``2:``, one with a single figure with
     ``1:``. The patterns are tried in order. Those that start with a figure look
     only at the phrases one pass over the text has collected; the one that does
-    not reads the text where no pattern before it has matched.
+    not reads the text where no pattern before it has matched. Given a column that holds the ``phrases``, they are
+    collected once, else by each pattern that is tried.
     """
-    phrases = F.array_join(F.regexp_extract_all(text, F.lit(P.YEARS_PHRASE), F.lit(0)), "\n")
+    phrases = years_phrases(text) if phrases is None else phrases
     figures, minimum, relevant = P.YEARS_SINGLE
 
     def found(tag: str, source: Column, pattern: str) -> Column:

@@ -56,10 +56,12 @@ def assign_state(df: DataFrame, states: Mapping[str, str] = CITY_STATES, case_fo
 
 def extract_years(df: DataFrame) -> DataFrame:
     """Years of experience asked for: yoe_min, yoe_max."""
+    text = F.coalesce("description", F.lit(""))
     return (
-        df.withColumn("_years", X.years_phrase(F.coalesce("description", F.lit(""))))
+        df.withColumn("_phrases", X.years_phrases(text))
+        .withColumn("_years", X.years_phrase(text, F.col("_phrases")))
         .withColumns({"yoe_min": X.years_min(F.col("_years")), "yoe_max": X.years_max(F.col("_years"))})
-        .drop("_years")
+        .drop("_phrases", "_years")
     )
 
 
