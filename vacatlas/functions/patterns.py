@@ -12,11 +12,6 @@ import re
 SPACE_NOT_BLANK = (
     r"[[^ -~]&&[\x09-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 )
-#: The same, to search whole texts for: the lookahead passes over a plain character at a quarter of the cost of a class
-#: that is cut with another one.
-SPACE_TO_FIND = (
-    r"(?![ -~])[\x09-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
 #: White space.
 SPACE = f"[ {SPACE_NOT_BLANK}]"
 #: The same set as a string, for trimming.
