@@ -11,11 +11,15 @@ from ..dictionaries import (
 )
 from ..functions import matching, patterns as P, skills as K, text as X
 from .dictionary import MOST_PLAIN, extract_many
+from .scan import scan_texts, years_source
 
 UNKNOWN_COMPANY = "Unknown"
 
 
-def clean_text(df: DataFrame) -> DataFrame:
+TEXT_COLUMNS = ("title", "company", "location", "description")
+
+
+def clean_text(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
     """Fill nulls, strip, and turn descriptions to plain text; absent columns are skipped."""
     cleaned = {
         "title": lambda c: X.strip(F.coalesce(c, F.lit(""))),
@@ -23,7 +27,12 @@ def clean_text(df: DataFrame) -> DataFrame:
         "location": lambda c: X.strip(F.coalesce(c, F.lit(""))),
         "description": X.plain_text,
     }
-    return df.withColumns({name: rule(F.col(name)) for name, rule in cleaned.items() if name in df.columns})
+    return df.withColumns({name: rule(F.col(name)) for name, rule in cleaned.items() if name in df.columns and name in columns})
+
+
+def read_text(df: DataFrame, *kinds: str) -> DataFrame:
+    """``clean_text``, with all that ``kinds`` name read off the descriptions on the way; see ``scan_texts``."""
+    return clean_text(scan_texts(df, *kinds), TEXT_COLUMNS[:-1])
 
 
 def geocode(df: DataFrame, cities: Mapping[str, tuple[float, float]] = CITY_COORDINATES) -> DataFrame:
@@ -55,8 +64,8 @@ def assign_state(df: DataFrame, states: Mapping[str, str] = CITY_STATES, case_fo
 
 
 def extract_years(df: DataFrame) -> DataFrame:
-    """Years of experience asked for: yoe_min, yoe_max."""
-    text = F.coalesce("description", F.lit(""))
+    """Years of experience asked for: yoe_min, yoe_max, from the description or from what ``scan_texts`` leaves of it."""
+    text = F.coalesce(years_source(df), F.lit(""))
     return (
         df.withColumn("_phrases", X.years_phrases(text))
         .withColumn("_years", X.years_phrase(text, F.col("_phrases")))

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from ..operators import enrich as E
 from ..operators.dedup import dedup
 
 
-def enrich_rows(df: DataFrame) -> DataFrame:
-    """Row-level part of processing; the same for batches and streams."""
-    df = E.clean_text(df)
+def enrich_rows(df: DataFrame, *read: str) -> DataFrame:
+    """Row-level part of processing; the same for batches and streams.
+
+    With kinds of what to ``read`` off the descriptions, "years" among them, one scan reads all of them, in batches, and
+    the descriptions stay only with "text"; see ``scan_texts``. Without, all are lazy expressions, and what nobody uses
+    is not computed.
+    """
+    df = E.read_text(df, *read) if read else E.clean_text(df)
     df = E.geocode(df)
     df = E.assign_region(df)
     df = E.assign_state(df)
-    df = E.extract_years(df)
+    df = E.extract_years(df).drop("_near_years")
     return E.normalize_salaries(df)
 
 
-def process(df: DataFrame, order: str = "posting_id") -> DataFrame:
-    """Drop duplicates, clean, locate, read experience and salaries."""
-    return enrich_rows(dedup(df, order))
+def process(df: DataFrame, order: str = "posting_id", read: Sequence[str] = ()) -> DataFrame:
+    """Drop duplicates, clean, locate, read experience and salaries; ``read`` as for ``enrich_rows``."""
+    return enrich_rows(dedup(df, order), *read)
 
 
 def describe(df: DataFrame, items: int | None = 10) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.dedup import KEY, among
-from ..operators.enrich import extract_skills
 from ..plans.process import enrich_rows
 from ..session import stored, work_path
 from .keystore import KeyStore
@@ -32,8 +31,8 @@ def posting_stream(
 
 
 def enrich_stream(df: DataFrame) -> DataFrame:
-    """The row-level stages, as in a batch: projections only, no state."""
-    return extract_skills(enrich_rows(df))
+    """The row-level stages, as in a batch: by row, no state. Descriptions are read in one scan."""
+    return enrich_rows(df, "text", "years", "skills")
 
 
 def with_posted_ts(df: DataFrame) -> DataFrame:
