@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacatlas.catalog.queries import QUERIES
+from vacatlas.catalog.tables import postings
 from vacatlas.dictionaries import CATEGORIES, SKILLS
 from vacatlas.functions import patterns as P
 from vacatlas.operators import enrich as E, scan as S
 from vacatlas.operators.facts import with_scores
+from vacatlas.plans.process import process
 from conftest import SMALL
 
 KEYWORDS = sorted({w for own in (*SKILLS.values(), *CATEGORIES.values()) for w in own})
@@ -82,6 +84,14 @@ def test_market_queries_read_their_texts_in_one_scan(spark):
         assert "large language model" not in text and "<[^>]+>" not in text, name
 
 
+def test_places_are_found_below_the_scan(spark):
+    """Above it they would be compiled together with the counting, which takes gigabytes of the compiler's memory."""
+    rows = process(postings(spark, SMALL), read=["years"]).select("region", "state", "latitude", "yoe_min")
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scan = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert not any("brooklyn" in line.lower() for line in lines[:scan]) and any("brooklyn" in line.lower() for line in lines[scan:])
+
+
 def test_self_overlap():
     assert S.apart(np.array([0, 5, 10, 20]), 6).tolist() == [0, 10, 20]
     finder = S.Finder({"health": False})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import enrich as E
 from ..operators.dedup import dedup
+from ..operators.scan import scan_texts
 
 
 def enrich_rows(df: DataFrame, *read: str) -> DataFrame:
@@ -17,12 +18,14 @@ def enrich_rows(df: DataFrame, *read: str) -> DataFrame:
     the descriptions stay only with "text"; see ``scan_texts``. Without, all are lazy expressions, and what nobody uses
     is not computed.
     """
-    df = E.read_text(df, *read) if read else E.clean_text(df)
+    df = E.clean_text(df, E.TEXT_COLUMNS[:-1]) if read else E.clean_text(df)
     df = E.geocode(df)
     df = E.assign_region(df)
     df = E.assign_state(df)
-    df = E.extract_years(df).drop("_near_years")
-    return E.normalize_salaries(df)
+    if read:
+        df = scan_texts(E.normalize_salaries(df), *read)
+        return E.extract_years(df).drop("_near_years")
+    return E.normalize_salaries(E.extract_years(df))
 
 
 def process(df: DataFrame, order: str = "posting_id", read: Sequence[str] = ()) -> DataFrame:
